@@ -1,13 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over the words that a text has is trained by numpy from
-confirmed toxic texts (P) and unlabelled ones (U). Its risk is
+A linear model over the words that a text has, and the beginnings of words, is
+trained by numpy from confirmed toxic texts (P) and unlabelled ones (U). Its
+risk is
 
     pi * R_P(+) + max(0, R_U(-) - pi * R_P(-))
 
 with the sigmoid loss; pi, the prior of the toxic class, comes from the labels
 that may be learnt from. Where the second part would be negative, the step goes
-against it instead, which keeps the model from overfitting P.
+against it instead, which keeps the model from overfitting P. Weights are not
+negative: a word can speak for toxicity, but no number of harmless words speaks
+against it, however long a text is.
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from .decontam import words_of
 
 #: Bounds of the training sample (texts) and of the vocabulary (words): what the driver holds.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 4_000, 12_000, 4_096
-#: Words in fewer sampled texts, or whose rates differ by fewer standard errors, are no features.
-MIN_TEXTS, MIN_Z = 4, 3.0
+#: Features of fewer sampled texts, or whose rates differ by fewer standard errors, are left out.
+MIN_TEXTS, MIN_Z = 5, 4.0
+#: Beginnings of words, in bytes, that are features besides the words; they are told from words by a "^".
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Words whose features a worker remembers.
+REMEMBERED = 300_000
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -40,17 +47,22 @@ def _some(rows: DataFrame, most: int, seed: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * most / n))
 
 
+def features_of(words: set[bytes]) -> set[bytes]:
+    """The words, and the beginnings of those that are longer."""
+    return words | {b"^" + w[:k] for k in BEGINNINGS for w in words if len(w) > k}
+
+
 def _distinct_words(texts: DataFrame) -> DataFrame:
     typed = pa.schema([("doc_id", pa.int64()), ("p", pa.int64()), ("words", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(set(words_of(t.as_py() or b""))) for t in b.column(2)], typed.types[2])], schema=typed)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(features_of(set(words_of(t.as_py() or b"")))) for t in b.column(2)], typed.types[2])], schema=typed)
 
     return texts.mapInArrow(run, "doc_id long, p long, words array<binary>")
 
 
-def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], words: int, prior: float, epochs: int = 120, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
+def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], words: int, prior: float, epochs: int = 200, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> np.ndarray:
     """Weights, the bias last, that minimise the non-negative risk.
 
     Each set is ``(text, word)``: pairs of a text's number and a word's. Texts
@@ -83,6 +95,7 @@ def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray,
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w[:-1] = np.maximum(w[:-1], 0)
     return w
 
 
@@ -108,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> tuple[dict[bytes,
     counts = rows.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
     rate = (F.col("a") + F.col("b")) / (n_p + n_u)
     z = (F.col("a") / n_p - F.col("b") / n_u) / F.sqrt(rate * (1 - F.least(rate, F.lit(0.999))) * (1 / n_p + 1 / n_u))
-    top = counts.filter(F.col("a") + F.col("b") >= MIN_TEXTS).select("word", z.alias("z")).filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "word").limit(MAX_WORDS).collect()
+    top = counts.filter(F.col("a") + F.col("b") >= MIN_TEXTS).select("word", z.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
     number = {bytes(r.word): i for i, r in enumerate(top)}
     if not number:
         return {}, -30.0
@@ -142,9 +155,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sent.value
-        known = weight.keys()
+        remembered: dict[bytes, tuple[bytes, ...]] = {}
+
+        def known(word: bytes) -> tuple[bytes, ...]:
+            if (got := remembered.get(word)) is None:
+                if len(remembered) >= REMEMBERED:
+                    remembered.clear()
+                got = remembered[word] = tuple(x for x in features_of({word}) if x in weight)
+            return got
+
         for b in batches:
-            f = np.array([bias + sum(sorted(map(weight.__getitem__, known & set(words_of(t.as_py() or b""))))) for t in b.column(1)])
+            f = np.array([bias + sum(sorted(weight[x] for x in {x for w in set(words_of(t.as_py() or b"")) for x in known(w)})) for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))), pa.float64())], ["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
