@@ -86,7 +86,7 @@ def with_references(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     groups = rows.filter(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = written(groups.filter("n > 1 and first is not null").select("digest", "first"), "shared-digests")
-    return join_checked(rows, shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    return join_checked(rows, shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
