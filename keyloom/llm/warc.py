@@ -25,6 +25,8 @@ from .common import join_checked, shared_path, text_or_empty, written
 LEAST = 100
 #: Reads are joined across gaps of at most this many bytes, up to a range of so many.
 GAP, RANGE = 64 * 1024, 8 * 1024 * 1024
+#: Archive bytes that a reading task is given, about.
+TASK_BYTES = 64 * 1024 * 1024
 
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -177,6 +179,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         for f in opened.values():
             f.close()
 
+    # index rows are small beside what they name: tasks are counted by the bytes to be read
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
     dealt = index.select("folder", "file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / RANGE))
-    dealt = dealt.repartition("folder", "file", "stretch").sortWithinPartitions("folder", "file", "offset").drop("stretch")
+    dealt = dealt.repartition(tasks, "folder", "file", "stretch").sortWithinPartitions("folder", "file", "offset").drop("stretch")
     return dealt.mapInArrow(run, RECORD)
