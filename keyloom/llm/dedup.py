@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, join_checked, shared_path, text_or_empty, written
 
+#: Digests of at least this many rows of a batch, and of the batch's rows over
+#: ``MOST_HOT``, are hot; so there are at most ``MOST_HOT``, which are broadcast.
+HOT_ROWS, MOST_HOT = 1_000, 100_000
+
 
 class DigestIndex:
     """A persistent index of text digests: ``digest, keep_id, group_size, batch``.
@@ -38,14 +42,9 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
-    def add(self, digests: DataFrame) -> str:
-        """Append the digests that the index lacks; returns the batch's name.
-
-        digests: ``doc_id, digest`` of the batch's rows. Copies are counted
-        before they are moved, so a group of any size is one row per task.
-        """
+    def add(self, groups: DataFrame) -> str:
+        """Append the digests of ``groups(digest, keep_id, group_size)`` that the index lacks; returns the batch's name."""
         batch = uuid.uuid4().hex
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         new = new.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").sortWithinPartitions("digest")
         new.select("digest", "keep_id", "group_size", "batch").write.insertInto(self.table)
@@ -64,8 +63,16 @@ class DigestIndex:
         the index as it is. Other columns are not read.
         """
         digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(text_or_empty()), 256)).alias("digest")), "digests")
-        batch = self.add(digests)
-        rows = digests.join(self.read().hint("merge"), "digest")
+        # copies are counted before they are moved: a group of any size is one row per task
+        groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+        batch = self.add(groups)
+        # rows of hot groups stay where they are and get the group's row; the others go to the index's buckets
+        hot = groups.filter(F.col("group_size") >= max(HOT_ROWS, digests.count() // MOST_HOT)).select("digest").join(self.read(), "digest")
+        hot = written(hot.select("digest", F.struct("keep_id", "group_size", "batch").alias("hot")), "hot")
+        marked = digests.join(F.broadcast(hot), "digest", "left")
+        apart = marked.filter("hot is not null").select("doc_id", "digest", "hot.*")
+        rest = marked.filter("hot is null").select("doc_id", "digest").join(self.read().hint("merge"), "digest").select("doc_id", "digest", "keep_id", "group_size", "batch")
+        rows = apart.unionByName(rest)
         kept = F.col("doc_id").isNull() | ((F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
         return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -136,7 +136,9 @@ def test_warc(spark):
 # ---- exact copies
 
 
-def test_dedup(spark):
+@pytest.mark.parametrize("hot", [1_000, 2])
+def test_dedup(spark, hot, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT_ROWS", hot)
     index = dedup.DigestIndex(spark, shared_path(spark, "index"), 4)
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     table = docs(spark, ODD)
