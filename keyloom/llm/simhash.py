@@ -8,7 +8,8 @@ pairs of nodes go down together, differing bits add up, and a pair of nodes is
 dropped as soon as it has more than k. A bucket of over ``max_bucket``
 fingerprints is dealt again by blocks of its free bits, until about 20 of them
 are left, so that no bucket is ever unbounded. Copies share a
-fingerprint and count once, however many they are.
+fingerprint and count once, however many they are. For classes a bucket's links
+are reduced to trees before they leave the task.
 """
 
 from __future__ import annotations
@@ -151,8 +152,30 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: i
         stack.append((depth + 1, *(v[live] for v in (x0, x1, y0, y1, d))))
 
 
-def _joined(parts: int, deals: int):
-    """What joins the tries of a partition of ``key, rest, fp, node``, sorted by key and rest."""
+def _roots(root: np.ndarray, i: np.ndarray) -> np.ndarray:
+    r = root[i]
+    while (r != (up := root[r])).any():
+        r = up
+    return r
+
+
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of the linked ``i`` and ``j``; ``root`` points to smaller places, a tree's least to itself."""
+    while True:
+        i, j = _roots(root, i), _roots(root, j)
+        apart = i != j
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+
+
+def _joined(parts: int, deals: int, forest: bool):
+    """What joins the tries of a partition of ``key, rest, fp, node``, sorted by key and rest.
+
+    With ``forest`` links become trees as they are found: fewer rows than
+    fingerprints leave a bucket, however many pairs are near in it.
+    """
     last, width = _widths(parts, deals)[-1]
     bits = last - width
 
@@ -161,10 +184,16 @@ def _joined(parts: int, deals: int):
         rest, fp = (table[c].to_numpy().view(np.uint64) for c in ("rest", "fp"))
         change = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
+        root = np.arange(len(key))
         for i, j in trie_pairs(rest, starts, ends, bits, parts - 1):
             keep = _first_block(fp[i] ^ fp[j], key[i], parts, deals)
-            if keep.any():
+            if forest:
+                unite(root, i[keep], j[keep])
+            elif keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]])], ["a", "b"])
+        i = np.flatnonzero(root != np.arange(len(root)))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[_roots(root, i)])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -186,11 +215,12 @@ def _joined(parts: int, deals: int):
     return run
 
 
-def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET, forest: bool = False) -> DataFrame:
     """``a, b``: nodes of all pairs of ``distinct(fp, node)`` that differ in at most ``max_bits`` bits.
 
     ``fp`` must be distinct. Each pair comes once. No pair is lost: see the
-    module's docstring.
+    module's docstring. With ``forest`` the rows are trees with the same
+    components in place of the pairs.
     """
     parts = max_bits + 1
     rows = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp", "node")
@@ -204,7 +234,7 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, max_bucket: int =
         again = hot is not None and not hot.isEmpty()
         here = rows.join(hot, "key", "left_anti") if again else rows
         here = here.repartition("key").sortWithinPartitions("key", "rest")
-        pairs = here.mapInArrow(_joined(parts, deals), "a long, b long")
+        pairs = here.mapInArrow(_joined(parts, deals, forest), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
         if not again:
             return found
@@ -224,7 +254,7 @@ def near_duplicate_classes(docs: DataFrame, max_bits: int = MAX_BITS, shingle: i
     fps = written(fingerprints(docs, shingle, seed), "fps")
     distinct = written(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     # one doc_id may stand at several fingerprints: they are then one node
-    components = written(connected_components(near_pairs(distinct, max_bits, max_bucket)), "components")
+    components = written(connected_components(near_pairs(distinct, max_bits, max_bucket, forest=True)), "components")
     named = distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 

@@ -195,6 +195,29 @@ def test_trie_join_loses_no_link(spark, bucket):
     table = spark.createDataFrame([(int(x), i) for i, x in enumerate(v.view(np.int64))], "fp long, node long")
     got = [tuple(sorted((r.a, r.b))) for r in simhash.near_pairs(table, 3, bucket).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, int(j)) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[i] ^ v) <= 3) if i < j}
+    trees = [tuple(r) for r in simhash.near_pairs(table, 3, bucket, forest=True).collect()]
+    roots = []
+    for links in (got, trees):
+        root = np.arange(len(v))
+        simhash.unite(root, *np.array(links).T)
+        roots.append(simhash._roots(root, np.arange(len(v))).tolist())
+    assert roots[0] == roots[1]
+
+
+def test_trees_of_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 30), (50, 400), (2_000, 1_500)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        root, least = np.arange(n), np.arange(n)
+        for at in range(0, m, 100):
+            simhash.unite(root, i[at : at + 100], j[at : at + 100])
+        for _ in range(n):
+            before = least.copy()
+            for a, b in zip(i, j, strict=True):
+                least[a] = least[b] = min(least[a], least[b])
+            if (before == least).all():
+                break
+        assert (simhash._roots(root, np.arange(n)) == least).all()
 
 
 def test_components(spark):
