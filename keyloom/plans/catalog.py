@@ -487,13 +487,29 @@ def rewritten_files(spark, sf_dir):
     return out.select(_id().alias("doc_id"), "any_fixed", F.size("outcomes").alias("outcomes"), F.md5("fixed_code").alias("fixed_md5"), F.md5("diff").alias("diff_md5"))
 
 
+RAW_LABELS, RAW_MARKS = ("TP", " fp ", "FP:docs", "tp_real", "uncertain", "maybe", "FALSE_POSITIVE", ""), ("true", " False ", "yes", "1")
+
+
+def parsed_labels(spark, sf_dir):
+    """Reviewers' labels as they may be written, by doc_id, and what they are read as."""
+    pick = lambda words: F.get(F.array(*[F.lit(w) for w in words]), F.pmod("doc_id", F.lit(len(words))).cast("int"))
+    d = table(spark, sf_dir, "labels").select("doc_id", pick(RAW_LABELS).alias("raw"), pick(RAW_MARKS).alias("mark"))
+    return d.select("doc_id", evaluate.human_label(F.col("raw")).alias("label"), evaluate.fp_category(F.col("raw")).alias("category"), evaluate.resolved_label(F.col("raw"), F.lit("TP")).alias("resolved"), evaluate.strict_boolean(F.col("mark")).cast("string").alias("synthetic"))
+
+
+SQL_PARSED = f"""WITH r AS (SELECT doc_id, [{", ".join(map(_sql_text, RAW_LABELS))}][doc_id % {len(RAW_LABELS)} + 1] AS raw, lower(trim([{", ".join(map(_sql_text, RAW_MARKS))}][doc_id % {len(RAW_MARKS)} + 1])) AS mark FROM labels),
+u AS (SELECT *, upper(trim(raw)) AS s FROM r)
+SELECT doc_id, CASE WHEN s IN ('TRUE_POSITIVE', 'TP') OR s LIKE 'TP\\_%' ESCAPE '\\' THEN 'TP' WHEN s IN ('FALSE_POSITIVE', 'FP') OR s LIKE 'FP\\_%' ESCAPE '\\' OR s LIKE 'FP:%' THEN 'FP' WHEN s = 'UNCERTAIN' THEN s END AS label,
+  nullif(regexp_extract(s, '^FP[:_](.*)$', 1), '') AS category, coalesce(nullif(trim(raw), ''), 'TP') AS resolved, CASE WHEN mark IN ('true', 'false') THEN mark END AS synthetic FROM u"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {"findings_documents": _findings_query(".py", False), "files_summary": flagship}
     named |= {f"findings_seeded_{ext[1:]}": _findings_query(ext) for ext in CONTROLS}
     own = (
         findings_by_rule_source, duplicate_secret_clusters, mask_and_provider, context_window_3, docker_window_30, policy_decisions, gate_results_exploded, audit_by_action, audit_by_provider, label_suggestions,
         precision_grouping_sets, rater_kappa, recall_match, recall_by_family, miss_taxonomy, suspicious_not_found, stratified_topk, sampled_findings, rate_limit_windows, knn_embeddings, dependency_closure, text_keywords,
-        preview_lines, history_added_lines, ast_findings, parse_errors, merged_findings, rewritten_files,
+        preview_lines, history_added_lines, ast_findings, parse_errors, merged_findings, rewritten_files, parsed_labels,
     )
     return named | {f.__name__: f for f in own}
 
@@ -505,5 +521,5 @@ def oracle_sql() -> dict[str, str]:
         "findings_by_rule_source": SQL_BY_SOURCE, "duplicate_secret_clusters": SQL_CLUSTERS, "mask_and_provider": _preview_sql(), "context_window_3": SQL_CONTEXT, "docker_window_30": SQL_DOCKER, "policy_decisions": SQL_POLICY,
         "gate_results_exploded": SQL_GATES, "audit_by_action": SQL_AUDIT, "audit_by_provider": SQL_PROVIDERS, "label_suggestions": _label_sql(), "precision_grouping_sets": SQL_PRECISION, "rater_kappa": SQL_KAPPA,
         "recall_match": SQL_RECALL, "recall_by_family": SQL_RECALL_BY, "miss_taxonomy": SQL_MISSES, "suspicious_not_found": SQL_SUSPICIOUS, "stratified_topk": SQL_STRATA, "sampled_findings": SQL_SAMPLED,
-        "rate_limit_windows": SQL_RATES, "knn_embeddings": SQL_KNN, "dependency_closure": SQL_CLOSURE, "text_keywords": SQL_KEYWORDS, "preview_lines": SQL_PREVIEW, "history_added_lines": SQL_HISTORY, "parse_errors": SQL_PARSE,
+        "rate_limit_windows": SQL_RATES, "knn_embeddings": SQL_KNN, "dependency_closure": SQL_CLOSURE, "text_keywords": SQL_KEYWORDS, "preview_lines": SQL_PREVIEW, "history_added_lines": SQL_HISTORY, "parse_errors": SQL_PARSE, "parsed_labels": SQL_PARSED,
     }
