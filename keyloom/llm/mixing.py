@@ -13,10 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import join_checked, text_or_empty, written
 
-#: Bound of the cells that are raked on the driver. Beyond it, sources are grouped by a hash into so many.
-MAX_CELLS, MAX_SOURCES = 100_000, 2_000
+#: Bound of the cells that are raked on the driver. More are raked as a table, to the same targets.
+MAX_CELLS = 100_000
 
 #: Topics by the form of a text: the first whose pattern is found.
 TOPICS = (
@@ -86,6 +86,46 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], r
     return w / w.sum() if w.sum() > 0 else w
 
 
+def goal_table(shares: dict[str, float] | float, tokens: DataFrame, dim: str) -> DataFrame:
+    """``targets`` of ``tokens(dim, n)`` as a table ``dim, goal``."""
+    if not isinstance(shares, dict):
+        t = tokens.withColumn("t", F.pow(F.col("n").cast("double"), F.lit(float(shares))))
+    else:
+        named = tokens.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{dim} string, named double")
+        t = join_checked(tokens, named, dim)
+        rest = max(0.0, 1 - sum(shares.values()))
+        free = t.filter("named is null").agg(F.sum("n")).first()[0] or 1
+        t = t.withColumn("t", F.coalesce("named", F.lit(rest) * F.col("n") / F.lit(float(free))))
+    t = written(t.select(dim, "t"), "targets")
+    total = t.agg(F.sum("t")).first()[0] or 1.0
+    return t.select(dim, (F.col("t") / F.lit(total)).alias("goal"))
+
+
+def rake_table(cells: DataFrame, how: Mix, rounds: int = 2_000, within: float = 1e-10) -> DataFrame:
+    """``source, lang, topic, fitted`` of ``cells(source, lang, topic, n)``: ``rake`` and its weights where cells are too many for the driver.
+
+    Each marginal is a grouped sum; only one number of each reaches the driver.
+    Besides an exact fit, shares that a whole round leaves as they are end it.
+    """
+    dims = ("source", "lang", "topic")
+    total = float(cells.agg(F.sum("n")).first()[0])
+    goals = [goal_table(s, cells.groupBy(d).agg(F.sum("n").alias("n")), d) for d, s in zip(dims, (how.source, how.lang, how.topic), strict=True)]
+    w = written(cells.select(*dims, "n", (F.col("n") / F.lit(total)).alias("w"), F.lit(0.0).alias("was")), "rake")
+    for _ in range(rounds):
+        worst = 0.0
+        w = w.withColumn("was", F.col("w"))
+        for d, goal in zip(dims, goals, strict=True):
+            have = written(w.groupBy(d).agg(F.sum("w").alias("have")).join(goal, d), "marginal")
+            worst = max(worst, have.agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0])
+            by = have.select(d, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("by"))
+            w = join_checked(w, by, d).select(*dims, "n", (F.col("w") * F.col("by")).alias("w"), "was")
+        w = written(w, "rake")
+        if worst < within or w.agg(F.sum(F.abs(F.col("w") - F.col("was")))).first()[0] < within:
+            break
+    share = w.agg(F.sum("w")).first()[0] or 1.0
+    return w.select(*dims, (F.col("w") / F.lit(share) / (F.col("n") / F.lit(total))).alias("fitted"))
+
+
 def mix(docs: DataFrame, how: Mix | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, rate, copies`` for every row of ``docs(doc_id, text, source, lang)``.
 
@@ -95,34 +135,33 @@ def mix(docs: DataFrame, how: Mix | None = None) -> DataFrame:
     as empty texts and names; a document without tokens has the rate of its
     cell, and of weight 1 where the cell has no tokens. Rows that repeat a
     doc_id share its draw. An empty table gives no rows. Other columns are not
-    read. Cells are counted before they are collected: beyond ``MAX_CELLS``
-    sources that no target names are grouped by a hash, which drops no row.
+    read. Cells are counted before they are collected: more than ``MAX_CELLS`` are
+    raked as a table. Every source is a category of its own, however many.
     """
     how = how or Mix()
     text = text_or_empty()
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), name("source").alias("source"), name("lang").alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens")), "tokens")
     spark = docs.sparkSession
-    rows = rows.withColumn("cell_source", F.col("source"))
-    cells = written(rows.groupBy("cell_source", "lang", "topic").agg(F.sum("n_tokens").alias("n")), "cells")
+    cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n")), "cells")
     if cells.count() > MAX_CELLS:
-        named = list(how.source) if isinstance(how.source, dict) else []
-        rows = rows.withColumn("cell_source", F.when(F.col("source").isin(named), F.col("source")).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_SOURCES)).cast("string"))))
-        cells = written(rows.groupBy("cell_source", "lang", "topic").agg(F.sum("n_tokens").alias("n")), "cells")
-    got = sorted(tuple(r) for r in cells.filter("n > 0").collect())
-    fitted = []
-    if got:
-        tokens = np.array([r[3] for r in got], float)
-        codes, goals = [], []
-        for k, shares in enumerate((how.source, how.lang, how.topic)):
-            names = sorted({r[k] for r in got})
-            at = {n: i for i, n in enumerate(names)}
-            codes.append(np.array([at[r[k]] for r in got]))
-            goals.append(targets(shares, names, np.bincount(codes[-1], tokens, minlength=len(names))))
-        weight = rake(tokens, codes, goals) / (tokens / tokens.sum())
-        fitted = [(*r[:3], float(w)) for r, w in zip(got, weight, strict=True)]
-    weights = spark.createDataFrame(fitted, "cell_source string, lang string, topic string, fitted double")
-    out = rows.join(F.broadcast(weights), ["cell_source", "lang", "topic"], "left")  # at most MAX_CELLS rows
+        full = cells.filter("n > 0")
+        weights = full.selectExpr("source", "lang", "topic", "1D AS fitted") if full.isEmpty() else written(rake_table(full, how), "weights")
+    else:
+        got = sorted(tuple(r) for r in cells.filter("n > 0").collect())
+        fitted = []
+        if got:
+            tokens = np.array([r[3] for r in got], float)
+            codes, goals = [], []
+            for k, shares in enumerate((how.source, how.lang, how.topic)):
+                names = sorted({r[k] for r in got})
+                at = {n: i for i, n in enumerate(names)}
+                codes.append(np.array([at[r[k]] for r in got]))
+                goals.append(targets(shares, names, np.bincount(codes[-1], tokens, minlength=len(names))))
+            weight = rake(tokens, codes, goals) / (tokens / tokens.sum())
+            fitted = [(*r[:3], float(w)) for r, w in zip(got, weight, strict=True)]
+        weights = F.broadcast(spark.createDataFrame(fitted, "source string, lang string, topic string, fitted double"))  # at most MAX_CELLS rows
+    out = rows.join(weights, ["source", "lang", "topic"], "left")
     weight = F.coalesce("fitted", F.lit(1.0))
     rate = weight * how.budget
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(how.seed)), 11) / F.lit(float(2**53))
