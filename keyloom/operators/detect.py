@@ -16,10 +16,10 @@ from . import rules as R
 COLUMNS = ("file", "line", "rule_id", "col", "end_col", "message", "type", "severity", "source", "pattern_type", "var_name", "masked", "provider", "fingerprint")
 
 
-def file_outcome(content: Column, ext: Column, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS) -> Column:
+def file_outcome(content: Column, ext: Column, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS, most: int = R.MAX_CHARS) -> Column:
     """Why a text is refused, or SUCCESS, in the order of the gates."""
     return (
-        F.when(strip(F.coalesce(content, F.lit(""))) == "", "FILE_EMPTY").when(F.length(content) > R.MAX_CHARS, "FILE_TOO_LARGE").when(~ext.isin(*allowed), "UNSUPPORTED_LANGUAGE")
+        F.when(strip(F.coalesce(content, F.lit(""))) == "", "FILE_EMPTY").when(F.length(content) > most, "FILE_TOO_LARGE").when(~ext.isin(*allowed), "UNSUPPORTED_LANGUAGE")
         .when(content.contains("\u0000"), "FILE_BINARY").otherwise("SUCCESS")
     )
 
@@ -49,13 +49,13 @@ def _gated(m: Column, line: Column, ext: Column) -> Column:
     return ~(R.comment_before(ext, F.left(line, m.col)) | R.metadata_name(name) | R.dunder(name) | R.placeholder(value) | R.word_like(value) | R.mirrors(name, value))
 
 
-def lines_of(files: DataFrame, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+def lines_of(files: DataFrame, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS, keep: tuple[str, ...] = (), most: int = R.MAX_CHARS) -> DataFrame:
     """``file, ext, line, text, services`` of the lines that a rule could match, of texts that pass the gates.
 
     services: whether a container service's key is near, in a CI file's YAML.
     """
     rows = files.select(*keep, "file", extension(F.col("file")).alias("ext"), "content")
-    rows = rows.filter((file_outcome(F.col("content"), F.col("ext"), allowed) == "SUCCESS") & F.col("content").rlike(R.KEYWORDS)).withColumn("lines", F.split("content", "\n"))
+    rows = rows.filter((file_outcome(F.col("content"), F.col("ext"), allowed, most) == "SUCCESS") & F.col("content").rlike(R.KEYWORDS)).withColumn("lines", F.split("content", "\n"))
     key = F.transform("lines", lambda x: F.upper(x).rlike(R.any_of(R.SERVICE_KEYS)))
     w = R.SERVICE_WINDOW
     near = F.when(F.col("ext").isin(*R.YAML) & R.ci_path(F.col("file")), F.transform("keys", lambda _, i: F.exists(F.slice("keys", F.greatest(i - w, F.lit(0)) + 1, F.least(i, F.lit(w)) + w + 1), lambda k: k)))
@@ -65,9 +65,9 @@ def lines_of(files: DataFrame, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS,
     return rows.select(*keep, "file", "ext", F.explode(wanted).alias("x")).select(*keep, "file", "ext", "x.line", "x.text", "x.services")
 
 
-def regex_findings(files: DataFrame, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+def regex_findings(files: DataFrame, allowed: tuple[str, ...] = R.DEFAULT_EXTENSIONS, keep: tuple[str, ...] = (), most: int = R.MAX_CHARS) -> DataFrame:
     """Findings of the rules, first rule of an id on a line; columns ``keep`` of files, then ``COLUMNS``."""
-    lines = lines_of(files, allowed, keep)
+    lines = lines_of(files, allowed, keep, most)
     text, ext = F.col("text"), F.col("ext")
     hits = F.filter(F.array(*[_match(r, text, ext) for r in R.RULES]), lambda m: m.isNotNull() & (m.hit != ""))
     split = F.transform(hits, lambda m: F.struct(m.rule_id.alias("rule_id"), m.pattern_type.alias("pattern_type"), m.message.alias("message"), m.col.alias("col"), (m.col + F.length(m.hit)).alias("end_col"),

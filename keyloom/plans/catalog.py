@@ -458,10 +458,18 @@ SQL_HISTORY = f"""SELECT 'r' || doc_id % 16 AS repo, sha1(CAST(doc_id AS VARCHAR
 FROM documents, (SELECT 0 AS k UNION ALL SELECT 1) WHERE doc_id % 2 = 0"""
 
 
+def _quoted(text: Column) -> Column:
+    """``text`` and a line end as a Python literal; its lines stay lines."""
+    for old, new in (("\\", "\\\\"), ("'''", "\\'\\'\\'"), ("\r", "\\r"), ("\0", "\\x00")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return F.concat(F.lit("'''"), text, F.lit("\n'''"))
+
+
 def _programs(spark, sf_dir) -> DataFrame:
-    """Python files of control lines; some don't parse."""
-    d = table(spark, sf_dir, "documents").select("doc_id", control(".py").alias("c"))
+    """Python files of control lines and the document's whole text; some don't parse."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", control(".py").alias("c"))
     body = F.concat(F.lit("import sys\n\n"), F.col("c"), F.lit('\nclient.connect(password="'), F.substring(F.md5(F.col("c")), 1, 16), F.lit('")\n'), F.when(F.pmod("doc_id", F.lit(10)) == 0, "def broken(:\n").otherwise(""))
+    body = F.concat(body, F.lit("text = "), _quoted(F.coalesce("text", F.lit(""))), F.lit("\n"))
     return d.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), body.alias("content"))
 
 
@@ -478,7 +486,7 @@ SQL_PARSE = "SELECT doc_id, 5::INTEGER AS line, 'PARSE_ERROR' AS rule_id, 'parse
 
 def merged_findings(spark, sf_dir):
     files = _programs(spark, sf_dir)
-    return detect.merged(detect.regex_findings(files), pytree.ast_findings(files)).select(_id().alias("doc_id"), "line", "rule_id", "source", "pattern_type", "fingerprint")
+    return detect.merged(detect.regex_findings(files, most=2**31 - 1), pytree.ast_findings(files)).select(_id().alias("doc_id"), "line", "rule_id", "source", "pattern_type", "fingerprint")
 
 
 def rewritten_files(spark, sf_dir):
