@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +26,49 @@ class DigestIndex:
     """A persistent index of text digests: ``digest, keep_id, group_size, batch``.
 
     ``path`` outlives the session: opening it again registers the same files.
-    ``buckets`` is fixed when the index is first made; take about one for each
-    256 MB that the index is to hold. An append writes one file for each bucket.
+    ``buckets`` is fixed when the index is first made, and stored in
+    ``{path}-buckets``: other sessions take the stored number, and fail if they
+    ask for another. Take about one for each 256 MB that the index is to hold.
+    An append writes one file for each bucket.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = self._stored(buckets)
         self.table = "keyloom_digests_" + hashlib.md5(path.encode()).hexdigest()
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+        declared = [int(r.data_type) for r in spark.sql(f"DESCRIBE EXTENDED {self.table}").collect() if r.col_name == "Num Buckets"]
+        if declared != [self.buckets]:
+            raise ValueError(f"{self.table} is declared with {declared} buckets, its files have {self.buckets}")
+
+    def _stored(self, asked: int | None) -> int:
+        """The bucket count of the index's files; stored here if the index is new."""
+        at = f"{self.path}-buckets"
+        try:
+            stored = self.spark.read.schema("buckets int").parquet(at).collect()[0].buckets
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            if asked is None and self._has_files():
+                raise ValueError(f"{at} is missing: give the bucket count with which {self.path} was made") from e
+            stored = asked or max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            self.spark.range(1).select(F.lit(stored).cast("int").alias("buckets")).write.parquet(at)
+        if asked not in (None, stored):
+            raise ValueError(f"{self.path} has {stored} buckets, not {asked}")
+        return stored
+
+    def _has_files(self) -> bool:
+        try:
+            return not self.spark.read.schema("digest binary").parquet(self.path).isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+
     def read(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
