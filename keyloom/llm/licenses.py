@@ -2,11 +2,12 @@
 
 Native operations only. Templates are grouped by length. For a group of at most
 M words, windows of 2M words start every M words, so that each run of M words
-lies whole in some window. In a window that has the share ``CONTAINMENT`` of a
-template's shingles, the two sets' Jaccard similarity is at least about
-``0.8 * (M / 2) / (2 * M)`` = 0.2, as a group's templates have over M / 2 words.
-With ``BANDS`` bands of one row, such a window meets its template in a band with
-a probability of at least 1 - 0.8 ** 64, over 0.999999.
+lies whole in some window. A window that has the least number of shingles that
+verifies a template has a Jaccard similarity J with it that follows from how
+many shingles the template has; the group's least J, mostly that of its
+shortest template, sets the number of bands of one row, such that
+``(1 - J) ** bands`` is at most ``MISSED``. So a window that would verify meets
+its template in a band with a probability of at least 1 - MISSED = 0.999999.
 
 A window can only match if it has one of a template's anchor words: anchors are
 chosen so that less than the least number of shingles that verifies is free of
@@ -15,6 +16,7 @@ them. Other windows are passed over before hashing; nothing is lost.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, text_or_empty, written
 
-SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 64
+SHINGLE, CONTAINMENT = 5, 0.8
+#: Bound of the probability that a window that would verify meets its template in no band.
+MISSED = 1e-6
 
 # Grants and notices of public licences, by SPDX name.
 TEMPLATES = (
@@ -61,9 +65,9 @@ def shingles_of(words: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), hashed)))
 
 
-def signature(shingles: Column, bands: int = BANDS) -> Column:
+def signature(shingles: Column, bands: Column) -> Column:
     """MinHash: for each band the least hash of the shingles under the band's own hash function."""
-    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
+    return F.transform(F.sequence(F.lit(1), bands), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
 
 
 def _words(text: str) -> list[str]:
@@ -96,10 +100,28 @@ def groups(templates=TEMPLATES) -> dict[int, list[tuple[int, str, str]]]:
     return dict(sorted(out.items()))
 
 
+def similarity(m: int, text: str, size: int = SHINGLE, containment: float = CONTAINMENT) -> float:
+    """The least Jaccard similarity of a template and a window of 2 * ``m`` words that verifies it."""
+    words = _words(text)
+    n = len({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
+    need = next(k for k in range(n + 1) if k / n >= containment)
+    return need / (max(2 * m - size + 1, n) + n - need)
+
+
+def bands_of(templates=TEMPLATES) -> dict[int, int]:
+    """The number of bands of each group, by M."""
+    least = {m: min(similarity(m, text) for _, _, text in of) for m, of in groups(templates).items()}
+    return {m: math.ceil(math.log(MISSED) / math.log(1 - j)) if j < 1 else 1 for m, j in least.items()}
+
+
+def _bands(templates) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for item in bands_of(templates).items() for v in item]), F.col("m"))
+
+
 def _templates(spark: SparkSession, templates) -> DataFrame:
     rows = [(m, i, name, text) for m, of in groups(templates).items() for i, name, text in of]
     t = spark.createDataFrame(rows, "m int, template int, name string, template_text string")
-    t = t.withColumn("want", shingles_of(words_of(F.col("template_text")))).withColumn("bands", signature(F.col("want")))
+    t = t.withColumn("want", shingles_of(words_of(F.col("template_text")))).withColumn("bands", signature(F.col("want"), _bands(templates)))
     return t.select("m", "template", "name", "want", F.posexplode("bands").alias("band", "value"))
 
 
@@ -123,7 +145,7 @@ def license_matches(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         windows.append(cut)
     found = rows.select("doc_id", F.explode(F.concat(*windows)).alias("x"))
     found = found.select("doc_id", "x.m", "x.start", shingles_of(F.col("x.w")).alias("have"))
-    found = found.select("doc_id", "m", "start", "have", F.posexplode(signature(F.col("have"))).alias("band", "value"))
+    found = found.select("doc_id", "m", "start", "have", F.posexplode(signature(F.col("have"), _bands(templates))).alias("band", "value"))
     met = found.join(F.broadcast(_templates(spark, templates)), ["m", "band", "value"])
     share = F.size(F.array_intersect("have", "want")) / F.size("want")
     met = met.select("doc_id", "name", "template", "start", share.alias("containment")).filter(F.col("containment") >= CONTAINMENT)
