@@ -84,13 +84,14 @@ def _let(value: Column, use) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """``conv_id, formatted, loss_mask`` for each conversation of ``rows(conv_id, turn, role, text)``.
+    """``conv_id, formatted, loss_mask, turns`` for each conversation of ``rows(conv_id, turn, role, text)``.
 
     Turns are in order of turn, then role, then text, so ties and repeated rows
     have one result. Null texts and roles count as empty, a null turn comes
     first, rows with a null conv_id are one conversation. loss_mask has the
     formatted text's runs, ``array<struct<chars,loss>>`` in code points: loss
-    holds for what stands in an assistant's turn between opening and closing. A
+    holds for what stands in an assistant's turn between opening and closing.
+    turns is what the parser reads back from the formatted text, as ``parse`` gives it. A
     conversation that the parser can't recover raises an error; none is known.
     A conversation is one row of output, so its turns meet in one task; other
     columns are not read and an empty table gives no rows.
@@ -108,7 +109,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     same = F.transform("back", lambda b: F.struct(b.role.alias("role"), b.text.alias("text"))) == F.col("turns")
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
     runs = F.flatten(F.transform("back", lambda b: F.when(b.role == "assistant", F.array(_run(F.lit(3), False), _run(b.loss_chars, True), _run(b.chars - b.loss_chars - 3, False))).otherwise(F.array(_run(b.chars, False)))))
-    return done.select("conv_id", checked.alias("formatted"), runs.alias("loss_mask"))
+    return done.select("conv_id", checked.alias("formatted"), runs.alias("loss_mask"), F.col("back").alias("turns"))
 
 
 def _run(chars: Column, loss: bool) -> Column:

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_CONVERSATION), (-1, 1, "assistant", CONTROL_CONVERSATION)], "conv_id long, turn long, role string, text string")
-    done = chat.format_conversations(rows.unionByName(extra)).withColumn("turns", chat.parse(F.col("formatted")))
+    done = chat.format_conversations(rows.unionByName(extra))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     # the text under the mask: where a run is in the loss, what the formatted text has there
     masked = F.aggregate(
