@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 #: Characters before and after a span in which context words count, up to the next span of its kind.
 BEFORE, AFTER = 48, 24
@@ -36,13 +36,20 @@ class Kind:
     base: bool = True
 
 
+# The length of an IBAN, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = r"(?<![A-Z0-9])(?:" + "|".join(rf"(?:{of.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, of in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
+
 #: In the order in which spans of one start are listed; the base kinds come first.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, r"mail|contact|write|e-mail"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.7, r"\bip\b|address|host|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", 0.7, r"card|visa|master|amex|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, r"phone|tel\b|call|mobile|fax|whatsapp"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.7, r"iban|bank|konto|compte|cuenta|account", base=False),
+    Kind("iban", _IBAN, r"[A-Z]{2}[0-9]{2}", 0.7, r"iban|bank|konto|compte|cuenta|account", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, r"ssn|social security|social-security", base=False),
     Kind("local_phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])", r"[0-9]{3}[-.][0-9]{4}", 0.4, r"phone|tel\b|call|mobile|fax|whatsapp", base=False),
 )
@@ -77,8 +84,7 @@ def _valid(kind: str, hit: Column) -> Column:
     if kind == "phone":
         return F.length(digits(hit)).between(10, 15)
     if kind == "iban":
-        bare = F.regexp_replace(hit, " ", "")
-        return F.length(bare).between(15, 34) & mod97(bare)
+        return mod97(F.regexp_replace(hit, " ", ""))
     if kind == "ssn":
         return ~hit.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -155,30 +161,38 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Spans are in order of start, then kind as in ``KINDS``; places are in code
     points of the whole text, the end exclusive. Spans of the base kinds all
     stay, whatever they score; of the others those that score at least
-    ``ACCEPT`` and lie in no base span. Null and empty texts have none, repeated
+    ``ACCEPT`` and don't lie wholly in a base span. Null and empty texts have none, repeated
     rows count as they stand, an empty table gives no rows; other columns are
     not read.
     """
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
-    docs = docs.select("doc_id", *[_found(F.col("text"), k).alias(k.name) for k in KINDS])
-    base = F.concat(*[F.col(k.name) for k in KINDS if k.base])
-    more = [F.filter(k.name, lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end))) for k in KINDS if not k.base]
+    return _with_spans(docs.select("doc_id", text_or_empty().alias("text")), "spans").select("doc_id", "spans")
+
+
+def _with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the spans of their ``text`` as a column of that name."""
+    own = {k.name: free_name(f"found_{k.name}", docs.columns) for k in KINDS}
+    docs = docs.select("*", *[_found(F.coalesce("text", F.lit("")), k).alias(own[k.name]) for k in KINDS])
+    base = F.concat(*[F.col(own[k.name]) for k in KINDS if k.base])
+    more = [F.filter(own[k.name], lambda s: ~F.exists(base, lambda b: (b.start <= s.start) & (s.end <= b.end))) for k in KINDS if not k.base]
     order = F.array(*[F.lit(k.name) for k in KINDS])
     listed = F.transform(F.concat(base, *more), lambda s: F.struct(s.start.alias("start"), F.array_position(order, s.kind).alias("n"), s.alias("span")))
-    return docs.select("doc_id", F.transform(F.sort_array(listed), lambda s: s.span).alias("spans"))
+    return docs.withColumn(name, F.transform(F.sort_array(listed), lambda s: s.span))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by its kind in brackets; overlapping spans are one."""
-    spans = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), lambda a, s: F.when(s.start < a.at, a).otherwise(
-        F.struct(s.end.alias("at"), F.concat(a.out, F.substring("text", (a.at + 1).cast("int"), (s.start - a.at).cast("int")), F.lit("["), s.kind, F.lit("]")).alias("out"))),
-        lambda a: F.concat(a.out, F.substring("text", (a.at + 1).cast("int"), F.lit(2**31 - 1))))
-    full = docs.withColumn("text", text_or_empty())
-    columns = [F.col(c) if c != "text" else spans.alias("text") for c in docs.columns]
-    return _with_spans(full).select(*columns)
-
-
-def _with_spans(docs: DataFrame) -> DataFrame:
-    text = F.col("text")
-    every = F.concat(*[_found(text, k) for k in KINDS])
-    return docs.withColumn("spans", F.sort_array(F.transform(every, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))))
+    """``docs`` with every found span of ``text`` replaced by its kind in brackets; overlapping spans are one, named by the first.
+
+    The spans are those of ``find_pii``. All columns keep their names and, but
+    for text, their values, a column ``spans`` too; a null text stays null;
+    repeated rows stay; an empty table gives no rows.
+    """
+    name = free_name("spans", docs.columns)
+    start = F.struct(F.lit(0).cast("long").alias("till"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        told = F.concat(a.out, F.substring("text", (a.till + 1).cast("int"), (s.start - a.till).cast("int")), F.lit("["), s.kind, F.lit("]"))
+        return F.struct(F.greatest(a.till, s.end).alias("till"), F.when(s.start < a.till, a.out).otherwise(told).alias("out"))
+
+    replaced = F.aggregate(name, start, step, lambda a: F.concat(a.out, F.substring("text", (a.till + 1).cast("int"), F.lit(2**31 - 1))))
+    full = _with_spans(docs.withColumn("text", F.col("text").cast("string")), name)
+    return full.select(*[F.col(f"`{c}`") if c != "text" else F.when(F.col("text").isNotNull(), replaced).alias("text") for c in docs.columns])
