@@ -20,6 +20,8 @@ from .common import join_checked, text_or_empty, written
 WINDOW = 10
 #: Benchmark text (bytes) that is searched for at a time: what is broadcast at once, and what a worker's tables hold.
 BLOCK_BYTES = 16_000_000
+#: Text (bytes) of documents that a task holds while it goes through several blocks, so that a block's tables are built once for it.
+HELD_BYTES = 64_000_000
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -101,7 +103,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     occurrence of a window, merged), items (ids of items with an occurring
     window, as sorted strings). A benchmark of any size is searched for in
     blocks of about ``block_bytes``, of which one at a time is on the driver and
-    in a worker's tables. Null texts have no words; null item_ids count as the
+    in a worker's tables; a task goes through the blocks once for each
+    ``HELD_BYTES`` of its texts. Null texts have no words; null item_ids count as the
     empty string; repeated items and rows count as they stand; an empty
     benchmark hits nothing. Other columns are not read.
     """
@@ -115,20 +118,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         sent.append(spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in part.collect()]))
     typed = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
+    def searched(held: list[pa.RecordBatch], ready: list[WuManber] | None) -> Iterator[pa.RecordBatch]:
+        texts = [t for b in held for t in b.column(1)]
+        n, hits, of = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+        for block in sent:
+            found = ready if ready is not None else matchers(block.value, window)
+            if ready is None:
+                block.__dict__.pop("_value", None)  # else the worker would keep every block that it has seen
+            for i, text in enumerate(texts):
+                words = words_of(text.as_py() or b"")
+                n[i] = len(words)
+                ranges, whose = search(words, found)
+                hits[i] = _merged(hits[i] + ranges) if hits[i] else ranges
+                of[i] |= whose
+        at = 0
+        for b in held:
+            part = slice(at, at := at + b.num_rows)
+            cols = [n[part], [[{"start": s, "end": e} for s, e in h] for h in hits[part]], [sorted(x) for x in of[part]]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, typed.types[1:], strict=True)]], schema=typed)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = matchers(sent[0].value, window) if blocks == 1 else None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            n, hits, of = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
-            for block in sent:
-                found = ready if ready is not None else matchers(block.value, window)
-                for i, text in enumerate(batch.column(1)):
-                    words = words_of(text.as_py() or b"")
-                    n[i] = len(words)
-                    ranges, whose = search(words, found)
-                    hits[i] = _merged(hits[i] + ranges) if hits[i] else ranges
-                    of[i] |= whose
-            cols = [batch.column(0), n, [[{"start": s, "end": e} for s, e in h] for h in hits], [sorted(x) for x in of]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, typed.types, strict=True)], schema=typed)
+            held.append(batch)
+            if ready is not None or sum(b.nbytes for b in held) >= HELD_BYTES:
+                yield from searched(held, ready)
+                held = []
+        yield from searched(held, ready)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, HITS)
 
