@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, shared_path, text_or_empty, written
+from .common import join_uneven, shared_path, small_enough, text_or_empty, written
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
@@ -38,7 +38,7 @@ def _open(folder: str):
     """The file system of a folder's URI, and the folder's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")  # a bare path must be a folder that all executors have mounted
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -64,7 +64,8 @@ def parse(raw: bytes) -> dict:
     body = rest[: int(field["Content-Length"])]
     digest = field["WARC-Payload-Digest"].removeprefix("sha256:")
     kind = field["WARC-Type"]
-    if lines[0] != "WARC/1.1" or rest[len(body) :] != b"\r\n\r\n" or kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+    whole = kind != "response" or hashlib.sha256(body).hexdigest() == digest and int(field["X-Payload-Length"]) == len(body)
+    if lines[0] != "WARC/1.1" or rest[len(body) :] != b"\r\n\r\n" or not whole:
         raise ValueError(f"broken WARC record of page {field.get('X-Page-Id')}")
     number = lambda s: int(s) if s else None
     return {
@@ -81,14 +82,20 @@ def _gzip(raw: bytes) -> bytes:
 def with_references(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, digest, refers_to``: which page a row's payload is kept with, null if with itself.
 
-    Only digests that several rows share are joined to the rows, and counted
-    beforehand; payloads move only if too many are shared to broadcast them.
+    Only digests that several rows share are joined to the rows. They are
+    counted beforehand: if they are too many to broadcast, payloads move once,
+    dealt by digest, but for those of hot digests, which stay where they are.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_or_empty("html").cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     groups = rows.filter(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = written(groups.filter("n > 1 and first is not null").select("digest", "first"), "shared-digests")
-    return join_checked(rows, shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    shared = written(groups.filter("n > 1 and first is not null"), "shared-digests")
+    if small_enough(shared):
+        met = rows.join(F.broadcast(shared.drop("n")), "digest", "left")
+    else:
+        met = join_uneven(rows, shared, "digest", shared.agg(F.sum("n")).first()[0], "left")
+    # short payloads are kept each with their own row, whatever their digest
+    return met.select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
