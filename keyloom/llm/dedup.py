@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_checked, shared_path, text_or_empty, written
+from .common import ascii_lower, delete, join_checked, shared_path, text_or_empty, written
 
 #: Digests of at least this many rows of a batch, and of the batch's rows over
 #: ``MOST_HOT``, are hot; so there are at most ``MOST_HOT``, which are broadcast.
@@ -73,17 +73,30 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
-    def add(self, groups: DataFrame) -> str:
-        """Append the digests of ``groups(digest, keep_id, group_size)`` that the index lacks; returns the batch's name."""
-        batch = uuid.uuid4().hex
+    def add(self, groups: DataFrame, batch: str | None = None) -> str:
+        """Append the digests of ``groups(digest, keep_id, group_size)`` that the index lacks; returns the batch's name.
+
+        A batch that is added again under its name appends what it lacks of it, that is nothing if it was whole.
+        """
+        batch = batch or uuid.uuid4().hex
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         new = new.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").sortWithinPartitions("digest")
         new.select("digest", "keep_id", "group_size", "batch").write.insertInto(self.table)
         return batch
 
-    def deduplicate(self, docs: DataFrame) -> DataFrame:
+    def drop(self) -> None:
+        """Forget the index and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete(self.spark, self.path)
+        delete(self.spark, f"{self.path}-buckets")
+
+    def deduplicate(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Append ``docs(doc_id, text)`` and return what became of every row.
 
+        A job that may be run again, say after the driver was lost, must name
+        its ``batch``: then a second run finds its own digests and gives the
+        same result. Without a name each call is a batch of its own.
+
         Columns: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal
         when identical after lower-casing A-Z only; null counts as empty. Of
         equal texts of a batch the row with the largest doc_id stays; texts that
@@ -96,7 +109,7 @@ class DigestIndex:
         digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(text_or_empty()), 256)).alias("digest")), "digests")
         # copies are counted before they are moved: a group of any size is one row per task
         groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-        batch = self.add(groups)
+        batch = self.add(groups, batch)
         # rows of hot groups stay where they are and get the group's row; the others go to the index's buckets
         hot = groups.filter(F.col("group_size") >= max(HOT_ROWS, digests.count() // MOST_HOT)).select("digest").join(self.read(), "digest")
         hot = written(hot.select("digest", F.struct("keep_id", "group_size", "batch").alias("hot")), "hot")
@@ -108,8 +121,10 @@ class DigestIndex:
         return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a fresh index unless one is given."""
-    index = index or DigestIndex(docs.sparkSession, shared_path(docs.sparkSession, "digest-index"))
-    gone = index.deduplicate(docs).filter("not kept").select("doc_id").distinct()
-    return join_checked(docs, written(gone, "gone"), "doc_id", "left_anti")
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; a fresh index, deleted afterwards, unless one is given."""
+    own = index or DigestIndex(docs.sparkSession, shared_path(docs.sparkSession, "digest-index"))
+    gone = written(own.deduplicate(docs, batch).filter("not kept").select("doc_id").distinct(), "gone")
+    if index is None:
+        own.drop()
+    return join_checked(docs, gone, "doc_id", "left_anti")
