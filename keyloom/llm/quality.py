@@ -5,7 +5,9 @@ a host, and of a path below it, are like is shrunk towards what lies above: a
 path's rate towards its host's, a host's towards the global one, by strengths
 that the spread between them tells (method of moments). A document's posterior
 is its evidence with its path's rate as prior; its own evidence is left out of
-that rate. Hosts and paths stay in DataFrames; only sums reach the driver.
+that rate, and of the host's and the global rate behind it. Only the two
+strengths, one number each for the whole corpus, are told from all documents.
+Hosts and paths stay in DataFrames; only sums reach the driver.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, written
+from .common import join_checked, join_uneven, written
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 20_000
-#: Most that a host's or path's rate may count for, in documents.
-MAX_STRENGTH = 1_000.0
+#: A rate above counts for so many documents at least: a site of one page is never judged by that page alone.
+LEAST_STRENGTH = 1.0
 
 _SYMBOLS, _UPPER, _DIGITS = b"$%#*&!|@^~=<>{}[]\\_+", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 FEATURES = ("words", "length", "repeats", "distinct", "symbols", "pipes", "upper", "digits", "flat")
@@ -115,16 +117,24 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, above: Column) -> float:
-    """How many documents the rate above counts for, by the spread of ``s / n`` around it beyond chance."""
+def _weight(groups: DataFrame, above: Column) -> float:
+    """What one document weighs beside the rate above: one over its strength, by the spread of ``s / n`` around it beyond chance.
+
+    0, which is a boundless strength, where no spread beyond chance is seen.
+    """
     usable = groups.filter("n >= 2")
     rate = F.col("s") / F.col("n")
     got = usable.agg(F.sum("n"), F.sum(F.col("n") * F.pow(rate - above, 2)), F.sum(above * (1 - above)), F.sum(F.col("n") * above * (1 - above)), F.count("*")).collect()[0]
     n, spread, chance, full, k = (float(v or 0) for v in got)
     if k < 2 or full <= 0 or n <= k:
-        return MAX_STRENGTH
+        return 0.0
     between = max(0.0, (spread - chance) / n) / (full / n)  # variance between groups, as a share of the greatest possible
-    return float(min(MAX_STRENGTH, max(1.0, 1 / between - 1))) if between > 0 else MAX_STRENGTH
+    return between / (1 - between) if between < 1 / (1 + LEAST_STRENGTH) else 1 / LEAST_STRENGTH
+
+
+def _shrunk(s: Column, n: Column, above: Column, weight: float) -> Column:
+    """The rate of ``n`` documents whose probabilities sum up to ``s``, towards the rate above."""
+    return (weight * s + above) / (weight * n + 1)
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
@@ -132,29 +142,29 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
 
     host and path default to the columns source and lang, path below host; nulls
     count as empty names. keep holds where the score, the posterior probability
-    of good quality, is at least ``threshold``. Null and empty texts have the
-    evidence of no words; repeated rows count as they stand; an empty table
-    gives no rows. Other columns are not read.
+    of good quality, is at least ``threshold``. host_rate and path_rate are what
+    the other documents tell: a host's only document has the global rate as its
+    host's. Null and empty texts have the evidence of no words; repeated rows
+    count as they stand, each beside the others; a table of one row has the
+    global rate 0.5; an empty table gives no rows. Other columns are not read.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name(host if host is not None else F.col("source")).alias("host"), name(path if path is not None else F.col("lang")).alias("path"), "text")
     rows = written(evidence(docs, fit(docs, labels), ["doc_id", "host", "path"]).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "evidence")
     paths = written(rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    total = hosts.agg(F.sum("s"), F.sum("n")).collect()[0]
-    if not total[1]:
-        mean = 0.5
-    else:
-        mean = min(1 - 1e-4, max(1e-4, total[0] / total[1]))
-    strong = _strength(hosts, F.lit(mean))
-    hosts = hosts.select("host", ((F.col("s") + strong * mean) / (F.col("n") + strong)).alias("host_rate"))
-    rates = paths.join(hosts, "host")
-    deep = _strength(rates, F.col("host_rate"))
-    rates = written(rates, "rates")
-    out = join_checked(rows, rates, ["host", "path"], "inner")
-    path_rate = (F.col("s") - F.col("p") + deep * F.col("host_rate")) / (F.col("n") - 1 + deep)
-    out = out.withColumn("path_rate", path_rate)
-    score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(mean)))))
+    hosts = written(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "hosts")
+    s, n = (float(v or 0) for v in hosts.agg(F.sum("s"), F.sum("n")).collect()[0])
+    mean = s / n if n else 0.5
+    wide = _weight(hosts, F.lit(mean))
+    above = paths.join(hosts.select("host", F.col("s").alias("host_s"), F.col("n").alias("host_n")), "host")
+    deep = _weight(above, _shrunk(F.col("host_s"), F.col("host_n"), F.lit(mean), wide))
+    sums = written(above.select("host", "path", "n", "s", F.col("n").alias("m"), "host_s", "host_n"), "rates")
+    out = join_uneven(rows, sums, ["host", "path"], int(n))
+    p = F.col("p")
+    others = (F.lit(s) - p) / (n - 1) if n > 1 else F.lit(0.5)
+    out = out.withColumn("mean_rate", others).withColumn("host_rate", _shrunk(F.col("host_s") - p, F.col("host_n") - 1, F.col("mean_rate"), wide))
+    out = out.withColumn("path_rate", _shrunk(F.col("s") - p, F.col("m") - 1, F.col("host_rate"), deep))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.col("mean_rate")))))
     return out.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("keep"))
 
 
