@@ -17,14 +17,16 @@ them. Other windows are passed over before hashing; nothing is lost.
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_checked, text_or_empty, written
 
 SHINGLE, CONTAINMENT = 5, 0.8
+#: What stands between words, in any script; one pattern for texts and templates.
+SEPARATOR = r"[^\p{L}\p{N}]+"
 #: Bound of the probability that a window that would verify meets its template in no band.
 MISSED = 1e-6
 
@@ -55,7 +57,7 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """Lower-cased words: runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
 
 
 def shingles_of(words: Column, size: int = SHINGLE) -> Column:
@@ -71,7 +73,8 @@ def signature(shingles: Column, bands: Column) -> Column:
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    """``words_of`` of a template, on the driver."""
+    return [w for w in regex.split(SEPARATOR, text.lower()) if w]
 
 
 def anchors(text: str, size: int = SHINGLE, containment: float = CONTAINMENT) -> set[str]:
