@@ -5,36 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, join_uneven, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _with_least(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``rows(a, b)`` with ``m``, the least b of their a; and ``a, m, n`` for each a.
 
+    The least is found by partial aggregation. The rows of a star's centre,
+    however many, stay in their tasks.
+    """
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return join_uneven(rows, least, "a", total), least
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    marked, _ = _with_least(both, 2 * n)
+    return marked.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
-def _small_star(edges: DataFrame) -> DataFrame:
+
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    marked, least = _with_least(down, n)
+    return marked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def _settled(edges: DataFrame, label: str) -> DataFrame:
+    return written(edges.filter("a <> b").distinct(), label)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``, component the least node.
 
     Each round is written to the shared folder, so a lost executor costs a task,
-    not a chain of rounds. The rounds grow with the logarithm of the longest
-    chain. Self-loops, repeated and reversed edges are allowed; no edges give
-    no rows. Only one number per round reaches the driver.
+    not a chain of rounds; what the next round doesn't need is deleted. The
+    rounds grow with the logarithm of the longest chain; they end when one
+    changes nothing, and each that changes anything lowers a node, so they do
+    end. Self-loops, repeated and reversed edges are allowed; edges with a null
+    end link nothing; no edges give no rows. A node of any number of edges is
+    no task's alone. Only one number per round reaches the driver.
     """
-    edges = written(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    edges = _settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         stat = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).collect()[0]
         if stat.n == 0 or before == (stat.n, stat.h):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = (stat.n, stat.h)
-        edges = written(_small_star(_large_star(edges)).filter("a <> b").distinct(), "cc")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        starred = written(_large_star(edges, stat.n), "cc-large")
+        discard(edges)
+        edges = _settled(_small_star(starred, stat.n), "cc")
+        discard(starred)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, written
+from .common import join_checked, join_uneven, written
 from .components import connected_components
 
 MAX_BITS = 3
@@ -246,17 +246,27 @@ def near_duplicate_classes(docs: DataFrame, max_bits: int = MAX_BITS, shingle: i
 
     Documents link when their fingerprints differ in at most ``max_bits`` bits;
     the component is the least doc_id that links reach, itself included. Equal
-    fingerprints always link, those of empty and null texts too. Repeated
-    doc_ids give a row each; a null doc_id never names a component, and a
-    fingerprint that only such rows have gives a null component. An empty table
-    gives no rows. Other columns of ``docs`` are not read.
+    fingerprints always link, those of empty and null texts too. Rows that
+    repeat a doc_id are one document, whatever their texts: each gives a row,
+    and all their fingerprints link. A null doc_id never names a component, and
+    a fingerprint that only such rows have gives a null component. An empty
+    table gives no rows. Other columns of ``docs`` are not read.
     """
     fps = written(fingerprints(docs, shingle, seed), "fps")
-    distinct = written(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    # one doc_id may stand at several fingerprints: they are then one node
-    components = written(connected_components(near_pairs(distinct, max_bits, max_bucket, forest=True)), "components")
-    named = distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
+    named = distinct.filter("node is not null")
+    links = near_pairs(named.select("fp", "node"), max_bits, max_bucket, forest=True).unionByName(_same_document(fps, named))
+    components = written(connected_components(links), "components")
+    # null where rows without a doc_id alone have the fingerprint
+    told = distinct.join(components, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return join_uneven(fps, written(told, "told"), "fp", fps.count()).select("doc_id", "fp", "component_id")
+
+
+def _same_document(fps: DataFrame, named: DataFrame) -> DataFrame:
+    """``a, b``: links of doc_ids that stand at several fingerprints to the nodes of these."""
+    several = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
+    at = join_checked(fps.filter("doc_id is not null").distinct(), written(several, "several"), "doc_id", "left_semi")
+    return at.join(named.select("fp", "node"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
