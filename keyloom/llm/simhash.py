@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from .common import join_checked, join_uneven, written
 from .components import connected_components
 
@@ -276,3 +277,23 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """
     gone = near_duplicate_classes(docs, **how).filter("doc_id <> component_id").select("doc_id").distinct()
     return join_checked(docs, written(gone, "gone"), "doc_id", "left_anti")
+
+
+def near_copies(docs: DataFrame, tenths: int = overlap.TENTHS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its class of near copies; all columns.
+
+    Documents link when their sets of five-word shingles have a Jaccard
+    similarity of at least ``tenths`` / 10. The trie self-join of the sets'
+    SimHashes finds those within ``max_bits`` bits, which are confirmed by their
+    sets; what is similar enough but further apart is found and confirmed by
+    ``overlap``. Texts without words are near copies of each other. Rows that
+    repeat a doc_id share its fate, rows without one stay, other columns are not
+    read, an empty table gives no rows.
+    """
+
+    def reached(table: DataFrame) -> DataFrame:
+        distinct = written(table.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "nodes")
+        same = join_uneven(table.select(F.col("node").alias("b"), "fp"), distinct.withColumnRenamed("node", "a"), "fp", table.count())
+        return near_pairs(distinct.select("fp", "node"), max_bits, forest=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same.filter("a <> b").select("a", "b"))
+
+    return overlap.near_dedup(docs, tenths, reached)
