@@ -174,11 +174,37 @@ def expectation_outcomes(expected: DataFrame, findings: DataFrame) -> DataFrame:
     return expected.join(found, ["file", "line"], "left").withColumn("outcome", outcome)
 
 
-def suspicious_lines(lines: DataFrame, findings: DataFrame) -> DataFrame:
-    """Lines that a plain search reports and the scanner does not: ``file, line, hit``, distinct."""
-    hit = F.regexp_extract("text", rf"(?i)(?:{'|'.join(SUSPICIOUS)})\s*=\s*[\"'][^\"']{{8,}}[\"']", 0)
-    rows = lines.withColumn("hit", hit).filter((F.col("hit") != "") & ~_holds(F.col("hit"), ("os.getenv", "os.environ", "process.env", "getenv(")))
-    return rows.select("file", "line", F.substring("hit", 1, 120).alias("hit")).join(findings.select("file", "line").distinct(), ["file", "line"], "left_anti").dropDuplicates(["file", "line"])
+def suspicious_matches(files: DataFrame) -> DataFrame:
+    """``file, line, n, at, hit``: every match of each plain search over the whole text, safe ones aside.
+
+    n is the search's place in ``SUSPICIOUS``, at the match's among the
+    search's; line is where the match starts, it may go on over lines.
+    """
+    marks = ("os.getenv", "os.environ", "process.env", "getenv(")
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    rows = files.select("file", "content").filter(F.col("content").rlike(rf"(?iuU)(?:{'|'.join(SUSPICIOUS)})\s*=\s*[\"']"))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<n:int,at:int,line:int,hit:string>>").alias("out"))
+
+    def matches(n: int, word: str) -> Column:
+        pattern = rf"(?iuU){word}\s*=\s*[\"'][^\"']{{8,}}[\"']"
+        both = F.zip_with(F.split("content", pattern), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda g, h: F.struct(newlines(g).alias("gap"), h.alias("hit")))
+
+        def step(a: Column, x: Column) -> Column:
+            line = a["line"] + x["gap"]
+            one = F.struct(F.lit(n).alias("n"), F.size(a["out"]).alias("at"), line.alias("line"), x["hit"].alias("hit"))
+            return F.struct((line + newlines(x["hit"])).alias("line"), F.concat(a["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, step, lambda a: a["out"])
+
+    found = [matches(n, word) for n, word in enumerate(SUSPICIOUS)]
+    out = rows.select("file", F.explode(F.concat(*found)).alias("x")).select("file", "x.line", "x.n", "x.at", "x.hit")
+    return out.filter(~_holds(F.col("hit"), marks))
+
+
+def suspicious_lines(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """Lines that a plain search reports and the scanner does not: ``file, line, hit``; of several matches on a line the first search's first."""
+    first = suspicious_matches(files).groupBy("file", "line").agg(F.min_by("hit", F.struct("n", "at")).alias("hit"))
+    return first.join(findings.select("file", "line").distinct(), ["file", "line"], "left_anti").select("file", "line", F.substring("hit", 1, 120).alias("hit"))
 
 
 def top_of(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
@@ -200,7 +226,7 @@ def numbered(findings: DataFrame) -> DataFrame:
     The number is global, so counts by range of files come first and each range
     is numbered apart: no task sorts all rows.
     """
-    spread = findings.repartitionByRange("file", "line", "rule_id").sortWithinPartitions("file", "line", "rule_id").withColumn("part", F.spark_partition_id()).persist()
+    spread = findings.repartitionByRange("file", "line", "rule_id").sortWithinPartitions("file", "line", "rule_id").withColumn("part", F.spark_partition_id()).checkpoint()  # parts stay as they are if executors are lost
     w = Window.partitionBy("part").orderBy("file", "line", "rule_id")
     before = {}
     total = 0

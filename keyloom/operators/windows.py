@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,32 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("content", "\n")).alias("p", "text")).select("file", (F.col("p") + 1).alias("line"), "text")
 
 
+def _split(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return files.select(*keep, "file", F.split("content", "\n").alias("all_lines"))
+
+
+def _slice(values: Column, at: Column, around: int) -> Column:
+    """The values from ``around`` before the place ``at`` (from 0) to as many after it."""
+    return F.slice(values, F.greatest(at - around, F.lit(0)) + 1, F.least(at, F.lit(around)) + around + 1)
+
+
+def lines_with_context(files: DataFrame, around: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``file, line, text, context`` of ``files(file, content)``: each line, and the lines around it joined by newlines.
+
+    A file's lines are an array of its row, so nothing is shuffled.
+    """
+    each = F.transform("all_lines", lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.array_join(_slice(F.col("all_lines"), i, around), "\n").alias("context")))
+    return _split(files, keep).select(*keep, "file", F.explode(each).alias("x")).select(*keep, "file", "x.*")
+
+
+def lines_near(files: DataFrame, flag: Callable[[Column, Column], Column], around: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``file, line, text`` of the lines of ``files`` at most ``around`` away from one where ``flag(text, line)`` holds; nothing is shuffled."""
+    rows = _split(files, keep).withColumn("flags", F.transform("all_lines", lambda t, i: F.coalesce(flag(t, i + 1), F.lit(False))))
+    rows = rows.filter(F.exists("flags", lambda x: x))
+    each = F.transform("all_lines", lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.exists(_slice(F.col("flags"), i, around), lambda x: x).alias("near")))
+    return rows.select(*keep, "file", F.explode(F.filter(each, lambda x: x.near)).alias("x")).select(*keep, "file", "x.line", "x.text")
+
+
 def context(rows: DataFrame, around: int = 3) -> DataFrame:
     """``rows(file, line, text)`` with the text of the lines around each, joined by newlines."""
     w = Window.partitionBy("file").orderBy("line").rowsBetween(-around, around)

@@ -5,7 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import audit, evaluate, graph, policy, rewrite, windows
+from keyloom.operators import audit, evaluate, flow, graph, policy, rewrite, windows
 from keyloom.sources import files, history, tables
 from keyloom.streaming import events
 
@@ -130,3 +130,42 @@ def test_streams(spark, tmp_path):
     assert spark.table("found").count() == 3
     r = events.rate_limits(spark.read.parquet(str(tmp_path / "in")).withColumn("k", F.lit("a")), "k", limit=5).first()
     assert r.n == 9 and r.limited
+
+
+def test_suspicious_matches(spark):
+    text = 'x = 1\nauth_token = "0123456789"\ntoken =\n  "abcdefgh\nijkl" ; password="os.getenv(1)" password=\'12345678\'\nSECRET = "short"\nbearer = "tok_abcdefgh"'
+    f = spark.createDataFrame([("a.py", text), ("b.py", None)], "file string, content string")
+    got = [(r.line, r.n, r.hit) for r in evaluate.suspicious_matches(f).orderBy("line", "n", "at").collect()]
+    assert got == [(2, 0, 'token = "0123456789"'), (2, 4, 'auth_token = "0123456789"'), (3, 0, 'token =\n  "abcdefgh\nijkl"'), (5, 7, "password='12345678'"), (7, 6, 'bearer = "tok_abcdefgh"')]
+    found = spark.createDataFrame([("a.py", 7)], "file string, line int")
+    assert [(r.line, r.hit) for r in evaluate.suspicious_lines(f, found).orderBy("line").collect()] == [(2, 'token = "0123456789"'), (3, 'token =\n  "abcdefgh\nijkl"'), (5, "password='12345678'")]
+
+
+def test_fix_asks_the_policy(spark):
+    rows = [("a.py", 'password = "q8Zk1vTr"\ntoken = "q8Zk1vTr"\n'), ("b.py", 'pwd = "q8Zk1vTr"\n'), ("c.py", "def f(:\n"), ("d.toml", 'password = "q8Zk1vTr"\n'), ("e.py", 'f(password=f"{x}-secret")\n')]
+    f = spark.createDataFrame(rows, "file string, content string")
+    found = flow.scan(f)
+    out, rewrites = flow.fix(f, found)
+    got = {(r.file, r.rule_id): (r.state, r.reason) for r in out.collect()}
+    assert got == {
+        ("a.py", "SEC001"): ("FIXED", None), ("a.py", "SEC002"): ("REFUSED", "preview_only"), ("b.py", "SEC001"): ("REFUSED", "preview_only"), ("c.py", "PARSE_ERROR"): ("REFUSED", "policy_block"),
+        ("d.toml", "SEC001"): ("REFUSED", "refuse_unsupported_language"), ("e.py", "SEC001"): ("REFUSED", "preview_only"),
+    }
+    assert [(r.file, r.fixed_code) for r in rewrites.filter("any_fixed").collect()] == [("a.py", 'import os\npassword = os.environ["PASSWORD"]\ntoken = "q8Zk1vTr"\n')]
+    r = flow.run_report("fix", f, out).first()
+    assert (r.files, r.fixed, r.refused, r.parse_errors, r.exit_code) == (5, 1, 5, 1, 1)
+    blocked, none = flow.fix(f, found, env_contract=False)
+    assert none.isEmpty() and flow.run_report("fix", f, blocked).first().exit_code == 0
+    assert {(r.file, r.state, r.reason) for r in blocked.filter("rule_id = 'SEC002'").collect()} == {("a.py", "REFUSED", "policy_block")}
+    more = found.withColumn("col", found.col + 1)
+    assert flow.merged_by_place(found, found.unionByName(more)).count() == 2 * found.count()
+
+
+def test_long_chains_and_rows(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(55)] + [(55, 0)], "src int, dst int")
+    got = graph.closure(e, spark.createDataFrame([(0,)], "root int"))
+    assert got.count() == 56 and got.agg({"depth": "max"}).first()[0] == 55
+    f = spark.createDataFrame([("a", "l1\nl2\nl3\nl4"), ("b", None)], "file string, content string")
+    near = windows.lines_near(f, lambda t, n: t == "l3", 1)
+    assert [(r.line, r.context) for r in windows.lines_with_context(f, 1).orderBy("line").collect()] == [(1, "l1\nl2"), (2, "l1\nl2\nl3"), (3, "l2\nl3\nl4"), (4, "l3\nl4")]
+    assert sorted(r.line for r in near.collect()) == [2, 3, 4]
