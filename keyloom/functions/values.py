@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the fingerprint of an empty value.
 EMPTY_FINGERPRINT = "sha256:e3b0c44298fc1c149afbf4c8"
 
 # The shapes by which a provider's secrets are known, most specific first.
@@ -17,6 +18,7 @@ PROVIDERS = (
     ("slack", r"^xox[baprs]-[0-9]+-[a-zA-Z0-9_]+$"),
     ("aws", r"^(AKIA[0-9A-Z]{16})$"),
 )
+# How providers are written, and the ends of a value that a preview shows.
 PROVIDER_TITLES = {"github": "GitHub", "sendgrid": "SendGrid", "stripe": "Stripe", "slack": "Slack", "aws": "AWS", "generic": "Generic", "unknown": "Unknown"}
 
 # Prefixes that a redacted preview keeps; the first that fits counts.
@@ -159,3 +161,10 @@ def repo_of_run(project: Column) -> Column:
     """owner/repo of ``github-owner-repo-run``, else the project itself."""
     part = F.split(project, "-")
     return F.when(project.startswith("github-") & (F.size(part) >= 4), F.concat(F.get(part, 1), F.lit("/"), F.get(part, 2))).otherwise(project)
+
+
+def matched_value(line: Column, most: int = 200) -> Column:
+    """The value that a line gives to a name: what is quoted after ``=`` or ``:``, else the word after ``=``, else the line, at most so many characters."""
+    bare = strip(line)
+    quoted, plain = rf"[:=]\s*[\"']([^\"']{{1,{most}}})[\"']", rf"=\s*(\S{{1,{most}}})"
+    return F.when(bare.rlike(quoted), F.regexp_extract(bare, quoted, 1)).when(bare.rlike(plain), F.regexp_extract(bare, plain, 1)).otherwise(F.left(bare, F.lit(most)))

@@ -113,6 +113,14 @@ def precision(rows: DataFrame, labels: str = "human_label", synthetic: str = "sy
     return out.withColumn("precision", F.col("tp") / F.nullif(n, F.lit(0))).withColumn("lower", lower).withColumn("upper", upper).withColumn("preliminary", n < 30)
 
 
+def older_precision(rows: DataFrame, by: tuple[str, ...] = ("repo", "rule_id")) -> DataFrame:
+    """tp, fp, skipped (no label) and unrecognised (any other) of rows ``(human_label, classification)``, overall and by each of ``by``."""
+    raw = resolved_label(F.col("human_label"), F.col("classification"))
+    label = F.when(raw.isNull(), "").otherwise(F.coalesce(human_label(raw), F.lit("?")))
+    counts = [F.count_if(F.col("l") == x).alias(n) for x, n in (("TP", "tp"), ("FP", "fp"), ("", "skipped"))]
+    return rows.withColumn("l", label).groupingSets([[], *[[F.col(b)] for b in by]], *[F.col(b) for b in by]).agg(F.grouping_id().alias("grouping"), *counts, F.count_if(F.col("l").isin("UNCERTAIN", "?")).alias("unrecognised"))
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``n, agreement, expected, kappa`` of two raters; kappa 1 if agreement is certain, null without rows."""
     cells = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))

@@ -31,6 +31,9 @@ def _gate(name: str, passed: Column, evidence: Column | str, expected: Column |
     return F.struct(F.lit(name).alias("gate"), passed.alias("passed"), text.alias("evidence"), (null if expected is None else expected).alias("expected"), (null if actual is None else actual).alias("actual"))
 
 
+# The texts of the gates, rationales and actions in the functions below. Two actions are reworded to name no product.
+
+
 def gate_results(i: Column) -> Column:
     """Six gates in order, or the first alone if the file doesn't parse. i: a struct of the policy's inputs."""
     rule, one, two = i.rule_id, i.rule_id == "SEC001", i.rule_id == "SEC002"

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import audit, detect, evaluate, flow, graph, policy, pytree, rewrite, windows
+from ..operators import audit, detect, evaluate, flow, graph, policy, pytree, rewrite, store, windows
 from ..operators import rules as R
-from ..sources import history, tables
+from ..sources import controls, history, tables
 from ..streaming import events
 
 # Control lines by extension: hits, and what each gate keeps out. "@" becomes 20 digits of md5(doc_id).
@@ -627,6 +627,73 @@ SQL_CACHE = """SELECT 'cache' AS kind, id FROM (SELECT event_id AS id FROM event
 UNION ALL SELECT 'last', event_id FROM (SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 
 
+def control_recall(spark, sf_dir):
+    """Invented controls, written to files, scanned, and met with what was planted; as many of each family as there are benchmark items."""
+    n = table(spark, sf_dir, "benchmark").count()
+    planted = controls.seed_files(controls.generate(spark, n)).checkpoint()
+    found = flow.scan(planted.select(F.col("file_path").alias("file"), "content"))
+    out = evaluate.recall(evaluate.recall_outcomes(planted.drop("content"), found), by=("file_format",))
+    return out.select(F.coalesce("file_format", F.lit("*")).alias("file_format"), (F.col("matched") > 0).alias("some"), (F.col("matched") == F.col("found")).alias("in_place"))
+
+
+# By hand: Markdown isn't scanned; in every other format controls are found, each in its own file.
+SQL_CONTROLS = "SELECT unnest(['*', 'python', 'env', 'yaml', 'json', 'toml', 'markdown']) AS file_format, unnest([true, true, true, true, true, true, false]) AS some, true AS in_place"
+
+
+def matched_values(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(e).alias("ext"), control(e).alias("line")) for e in (".py", ".env", ".yaml")])).alias("x"))
+    return d.select("doc_id", "x.ext", F.md5(V.matched_value(F.col("x.line"))).alias("value_md5"))
+
+
+SQL_MATCHED = " UNION ALL ".join(
+    rf"""SELECT doc_id, '{e}' AS ext, md5(CASE WHEN regexp_matches(t, '[:=]\s*["''][^"'']{{1,200}}["'']') THEN regexp_extract(t, '[:=]\s*["'']([^"'']{{1,200}})["'']', 1) WHEN regexp_matches(t, '=\s*\S') THEN regexp_extract(t, '=\s*(\S{{1,200}})', 1) ELSE left(t, 200) END) AS value_md5
+    FROM (SELECT doc_id, trim({control_sql(e)}) AS t FROM documents)"""
+    for e in (".py", ".env", ".yaml")
+)
+
+
+def older_precision(spark, sf_dir):
+    d = _reviews(spark, sf_dir).withColumn("classification", F.when(F.pmod("doc_id", F.lit(7)) == 0, "").otherwise(F.col("human_label"))).withColumn("human_label", F.lit(" "))
+    out = evaluate.older_precision(d)
+    return out.select(F.coalesce("repo", F.lit("*")).alias("repo"), F.coalesce("rule_id", F.lit("*")).alias("rule_id"), F.col("grouping").cast("long").alias("grouping"), "tp", "fp", "skipped", "unrecognised")
+
+
+SQL_OLDER = """WITH d AS (SELECT coalesce(source, '') AS repo, coalesce(lang, '') AS rule_id, CASE WHEN l.doc_id % 7 = 0 THEN '' WHEN l.doc_id % 11 = 0 THEN 'U' WHEN l.doc_id % 13 = 0 THEN '?' WHEN quality = 1 THEN 'TP' ELSE 'FP' END AS x FROM labels l JOIN documents USING (doc_id))
+SELECT coalesce(repo, '*') AS repo, coalesce(rule_id, '*') AS rule_id, grouping(repo, rule_id)::BIGINT AS grouping, count(*) FILTER (x = 'TP') AS tp, count(*) FILTER (x = 'FP') AS fp, count(*) FILTER (x = '') AS skipped, count(*) FILTER (x IN ('U', '?')) AS unrecognised FROM d GROUP BY GROUPING SETS ((), (repo), (rule_id))"""
+
+
+def failure_decay(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in (store.REGRESSION, store.SYNTAX, store.UNSOUND, "other", store.SYNTAX, "other", "other")]), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    return store.failure_decay(table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("failure_class")))
+
+
+SQL_DECAY = """WITH e AS (SELECT user_id AS session, event_id, event_id % 7 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events),
+g AS (SELECT session, count(*) FILTER (k = 0) AS r, count(*) FILTER (k = 2) AS u, count(*) FILTER (n <= 3 AND k IN (1, 4)) AS s FROM e GROUP BY session)
+SELECT session, r > 2 OR s = 3 OR u >= 2 AS should_abort, CASE WHEN r > 2 THEN 'SAFE_MODE' WHEN s = 3 OR u >= 2 THEN 'STOP' ELSE 'NORMAL' END AS mode FROM g"""
+
+
+def service_lookups(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    users = c.filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier"))
+    projects = o.filter("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("project_id"), F.col("o_custkey").alias("user_id"))
+    asked = store.project_owners(o.select(F.col("o_orderkey").alias("project_id")), projects).withColumnRenamed("owner", "user_id")
+    return store.user_tiers(asked, users).select("project_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), "tier")
+
+
+SQL_LOOKUPS = "SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey ELSE -1 END AS user_id, coalesce(c_mktsegment, 'free') AS tier FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 4 > 0 AND c_custkey % 3 > 0"
+
+
+def encrypted_fields(spark, sf_dir):
+    """Columns encrypted and decrypted again."""
+    key = F.lit("0123456789abcdef")
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("plain"), "text")
+    sealed = store.encrypted(d, ("text",), key)
+    return store.decrypted(sealed.withColumn("hidden", F.col("text") != F.col("plain")), ("text",), key).select("item_id", "hidden", F.md5("text").alias("text_md5"))
+
+
+SQL_ENCRYPTED = "SELECT item_id, true AS hidden, md5(text) AS text_md5 FROM benchmark"
+
+
 RAW_LABELS, RAW_MARKS = ("TP", " fp ", "FP:docs", "tp_real", "uncertain", "maybe", "FALSE_POSITIVE", ""), ("true", " False ", "yes", "1")
 
 
@@ -651,6 +718,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         precision_grouping_sets, rater_kappa, recall_match, recall_by_family, miss_taxonomy, suspicious_not_found, stratified_topk, sampled_findings, rate_limit_windows, knn_embeddings, dependency_closure, text_keywords,
         preview_lines, history_added_lines, ast_findings, parse_errors, merged_findings, rewritten_files, parsed_labels,
         fix_outcomes, fix_report, rules_seen, count_changes, text_report, numbered_findings, unblocking_actions, run_keys, cache_and_upserts,
+        control_recall, matched_values, older_precision, failure_decay, service_lookups, encrypted_fields,
     )
     return named | {f.__name__: f for f in own}
 
@@ -665,4 +733,5 @@ def oracle_sql() -> dict[str, str]:
         "rate_limit_windows": SQL_RATES, "knn_embeddings": SQL_KNN, "dependency_closure": SQL_CLOSURE, "text_keywords": SQL_KEYWORDS, "preview_lines": SQL_PREVIEW, "history_added_lines": SQL_HISTORY, "parse_errors": SQL_PARSE, "parsed_labels": SQL_PARSED,
         "ast_findings": SQL_TREES, "merged_findings": SQL_MERGED, "rewritten_files": SQL_REWRITTEN, "fix_outcomes": SQL_FIX, "fix_report": SQL_FIX_REPORT, "rules_seen": SQL_RULES_SEEN, "count_changes": SQL_CHANGES,
         "text_report": SQL_TEXT_REPORT, "numbered_findings": SQL_NUMBERED, "unblocking_actions": SQL_UNBLOCKING, "run_keys": SQL_RUN_KEYS, "cache_and_upserts": SQL_CACHE,
+        "control_recall": SQL_CONTROLS, "matched_values": SQL_MATCHED, "older_precision": SQL_OLDER, "failure_decay": SQL_DECAY, "service_lookups": SQL_LOOKUPS, "encrypted_fields": SQL_ENCRYPTED,
     }

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of a table for review.
 REVIEW_COLUMNS = ("finding_id", "repo", "file", "line", "rule_id", "matched_preview", "surrounding_context", "synthetic", "human_label", "category", "review_notes", "reviewer", "review_timestamp", "labeling_pass_id")
 
 
@@ -32,8 +34,13 @@ def read_findings(spark: SparkSession, path: str, repo: str | None = None) -> Da
     return rows.withColumn("repo", F.coalesce(F.col("repo"), F.lit(name)) if "repo" in rows.columns else F.lit(name))
 
 
+def _listed(value: str) -> list[str]:
+    """``[a, "b"]`` or ``a`` as a list."""
+    return [v for x in value.strip("[]").split(",") if (v := x.strip().strip("'\""))]
+
+
 def custom_rules(text: str) -> list[dict]:
-    """Rules of a small YAML list (id, pattern, severity, message); those without id or a pattern that compiles are left out."""
+    """Rules of a small YAML list (id, pattern, severity, message, include, exclude); those without id or a pattern that compiles are left out."""
     out: list[dict] = []
     for line in text.splitlines():
         if m := re.match(r"\s*-\s+(\w+):\s*(.*)$", line):
@@ -47,24 +54,57 @@ def custom_rules(text: str) -> list[dict]:
         except (KeyError, re.error):
             continue
         if r.get("id"):
-            good.append({"id": r["id"], "pattern": r["pattern"], "severity": r.get("severity", "MEDIUM").upper(), "message": r.get("message", "")})
+            good.append({"id": r["id"], "pattern": r["pattern"], "severity": r.get("severity", "MEDIUM").upper(), "message": r.get("message", ""), "include": _listed(r.get("include", "")), "exclude": _listed(r.get("exclude", ""))})
     return good
 
 
+def _fits(path: Column, globs: list[str]) -> Column:
+    out = F.lit(False)
+    for g in globs:
+        out = out | path.rlike(re.sub(r"\(\?s:(.*)\)\\[zZ]$", r"(?s)^(?:\1)$", fnmatch.translate(g)))
+    return out
+
+
 def custom_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """Every match of every custom rule: ``file, rule_id, severity, line``."""
+    """Every match of every custom rule in files that fit its globs, but for those after a comment sign: ``file, rule_id, severity, line``.
+
+    Lines are summed up in one pass over a file's matches.
+    """
+    path = F.regexp_replace("file", r"\\", "/")
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    sign = F.when(path.endswith(".py"), "#").when(path.rlike(r"\.(?:js|ts|jsx|tsx)$"), "//")
+    start = F.struct(F.lit(1).alias("line"), F.lit("").alias("before"), F.array().cast("array<int>").alias("out"))
+
+    def lines(pattern: str) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            line, gap = a["line"] + newlines(x["gap"]), x["gap"]
+            prefix = F.when(gap.contains("\n"), F.substring_index(gap, "\n", -1)).otherwise(F.concat(a["before"], gap))
+            noted = F.coalesce(prefix.contains(sign), F.lit(False))
+            after = F.concat(prefix, x["hit"])
+            return F.struct((line + newlines(x["hit"])).alias("line"), F.substring_index(after, "\n", -1).alias("before"), F.when(noted, a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"))
+
+        both = F.zip_with(F.split("content", pattern), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        return F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, step, lambda a: a["out"])
+
     out = None
     for r in rules:
-        hits = F.regexp_extract_all("content", F.lit(r["pattern"]), F.lit(0))
-        gaps = F.slice(F.split("content", r["pattern"]), 1, F.size(hits))
-        newlines = lambda s: F.length(s) - F.length(F.regexp_replace(s, "\n", ""))
-        both = F.zip_with(gaps, hits, lambda g, h: F.struct(newlines(g).alias("g"), newlines(h).alias("h")))
-        rows = files.filter(F.col("content").rlike(r["pattern"])).select("file", F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.transform(both, lambda x, i: F.aggregate(F.slice(both, 1, i), F.lit(1), lambda a, y: a + y.g + y.h) + x.g).alias("lines"))
-        rows = rows.select("file", "rule_id", "severity", F.explode("lines").alias("line"))
+        wanted = F.col("content").rlike(r["pattern"]) & _fits(path, r.get("include") or ["*"]) & ~_fits(path, r.get("exclude") or [])
+        rows = files.filter(wanted).select("file", F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.explode(lines(r["pattern"])).alias("line"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls left out."""
+    df.write.json(path)
+
+
+def history_text(findings: DataFrame) -> DataFrame:
+    """A text block for each finding of a history, with the columns that order them."""
+    block = F.format_string("Commit: %s (Date: %s)\nFile:   %s:%s\nSecret: %s (%s)\nStatus: present in history\n", F.substring("commit_hash", 1, 7), "author_date", "file", F.col("line_number").cast("string"), "rule_id", "message")
+    return findings.select("repo", "commit_hash", "file", "line_number", "rule_id", block.alias("block"))
+
+
 def envelope(summary: dict, findings: DataFrame) -> str:
     """One JSON document of a report; findings stream to the driver in order, null keys left out."""
     rows = findings.orderBy("file", "line", "rule_id").select(F.to_json(F.struct(*findings.columns)).alias("j")).toLocalIterator()

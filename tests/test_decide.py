@@ -5,8 +5,8 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import audit, evaluate, flow, graph, policy, rewrite, windows
-from keyloom.sources import files, history, tables
+from keyloom.operators import audit, evaluate, flow, graph, policy, rewrite, store, windows
+from keyloom.sources import controls, files, history, tables
 from keyloom.streaming import events
 
 POLICY = [
@@ -169,3 +169,26 @@ def test_long_chains_and_rows(spark):
     near = windows.lines_near(f, lambda t, n: t == "l3", 1)
     assert [(r.line, r.context) for r in windows.lines_with_context(f, 1).orderBy("line").collect()] == [(1, "l1\nl2"), (2, "l1\nl2\nl3"), (3, "l2\nl3\nl4"), (4, "l3\nl4")]
     assert sorted(r.line for r in near.collect()) == [2, 3, 4]
+
+
+def test_custom_globs_and_comments(spark):
+    own = tables.custom_rules("rules:\n  - id: A\n    pattern: 'foo+'\n    include: ['src/*']\n    exclude: src/x.py\n")
+    f = spark.createDataFrame([("src/a.py", "foo # foo\n# foo\nbar foo foo"), ("src/x.py", "foo"), ("lib/a.py", "foo"), ("src/a.js", "// foo\n# foo")], "file string, content string")
+    assert sorted((r.file, r.line) for r in tables.custom_findings(f, own).collect()) == [("src/a.js", 2), ("src/a.py", 1), ("src/a.py", 3), ("src/a.py", 3)]
+
+
+def test_controls(spark):
+    rows = controls.generate(spark, 20).collect()
+    assert len({r.value for r in rows}) == len({r.control_id for r in rows}) == 20 * len(controls.FAMILIES)
+    assert rows == controls.generate(spark, 20).repartition(5).orderBy("control_id").collect() or sorted(rows) == sorted(controls.generate(spark, 20).repartition(5).collect())
+    for r in rows:
+        parts = controls.FAMILIES[r.family]
+        assert len(r.value) == sum(len(p) if isinstance(p, str) else p[1] for p in parts)
+    assert controls.generate(spark, 20, seed=7).first().value != rows[0].value
+
+
+def test_keys(spark):
+    k = spark.createDataFrame([(1, 1, "2030-01-01", None), (2, 0, None, None), (3, 1, "2020-01-01", None), (4, 1, None, "10.0.0.1"), (5, 1, None, "10.0.0.2")], "id int, is_active int, expires_at string, allowed_ip string")
+    assert [r.id for r in store.usable_keys(k, F.lit("2026-01-01"), F.lit("10.0.0.1")).orderBy("id").collect()] == [1, 4]
+    c = spark.createDataFrame([("p", "r1", 1, 1), ("p", "r2", 2, 0)], "project_id string, rule_id string, priority int, enabled int")
+    assert [r.rule_id for r in store.enabled_rules(c).collect()] == ["r1"]
