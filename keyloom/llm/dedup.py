@@ -122,9 +122,12 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a fresh index, deleted afterwards, unless one is given."""
+    """The rows of ``docs`` that stay, with all their columns; a fresh index, deleted afterwards, unless one is given.
+
+    A doc_id that is repeated with several texts stays, all its rows, if one of them does: no text is lost.
+    """
     own = index or DigestIndex(docs.sparkSession, shared_path(docs.sparkSession, "digest-index"))
-    gone = written(own.deduplicate(docs, batch).filter("not kept").select("doc_id").distinct(), "gone")
+    gone = written(own.deduplicate(docs, batch).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"), "gone")
     if index is None:
         own.drop()
     return join_checked(docs, gone, "doc_id", "left_anti")
