@@ -522,15 +522,15 @@ _ALL_FOUND = f"""{_MERGED}, {_TREE_FOUND}, every AS (SELECT doc_id, line, rule_i
 SQL_MERGED = f"WITH {_ALL_FOUND} SELECT doc_id, line::INTEGER AS line, rule_id, source, pattern_type, {SQL_FINGERPRINT('value')} AS fingerprint FROM every"
 
 
-def _fix(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _fix(spark, sf_dir, env_contract: Column | bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = _programs(spark, sf_dir)
     found = flow.scan(files, most=ANY_SIZE)
-    return files, *flow.fix(files, found, env_contract=_id() % 3 > 0)
+    return files, *flow.fix(files, found, env_contract)
 
 
 def fix_outcomes(spark, sf_dir):
     """Scan, policy, rewrite: what became of each finding. A third of the files have no environment contract."""
-    return _fix(spark, sf_dir)[1].select(_id().alias("doc_id"), "line", "rule_id", "state", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("env_var", F.lit("")).alias("env_var"), "final_action")
+    return _fix(spark, sf_dir, _id() % 3 > 0)[1].select(_id().alias("doc_id"), "line", "rule_id", "state", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("env_var", F.lit("")).alias("env_var"), "final_action")
 
 
 _OUTCOMES = f"""{_ALL_FOUND}, o AS (SELECT doc_id, line::INTEGER AS line, rule_id,
@@ -543,7 +543,7 @@ SQL_FIX = f"WITH {_OUTCOMES} SELECT doc_id, line, rule_id, state, reason, env_va
 
 
 def fix_report(spark, sf_dir):
-    files, outcomes, _ = _fix(spark, sf_dir)
+    files, outcomes, _ = _fix(spark, sf_dir, _id() % 3 > 0)
     return flow.run_report("fix", files, outcomes)
 
 
@@ -552,14 +552,15 @@ SQL_FIX_REPORT = f"""WITH {_OUTCOMES} SELECT (SELECT count(*) FROM documents) AS
 
 
 def rewritten_files(spark, sf_dir):
-    """Only what the policy approves is rewritten; the rewritten code by its digest."""
-    return _fix(spark, sf_dir)[2].select(_id().alias("doc_id"), "any_fixed", F.size("outcomes").alias("outcomes"), F.md5("fixed_code").alias("fixed_md5"))
+    """Only what the policy approves is rewritten; the rewritten code by its digest. All files have a contract here."""
+    return _fix(spark, sf_dir, True)[2].select(_id().alias("doc_id"), "any_fixed", F.size("outcomes").alias("outcomes"), F.md5("fixed_code").alias("fixed_md5"))
 
 
-# By hand: control line 10 assigns a password, and line 4 of every program passes one. (Line 0 does too, but only where there is no contract.)
-SQL_REWRITTEN = f"""WITH p AS (SELECT doc_id, {_PROGRAM} AS content, substr(md5(CAST(doc_id AS VARCHAR)), 1, 20) AS m, substr(md5({control_sql('.py')}), 1, 16) AS c FROM documents WHERE doc_id % 10 > 0 AND doc_id % 3 > 0),
-r AS (SELECT doc_id, replace(CASE doc_id % 12 WHEN 10 THEN replace(content, 'password_token = ''' || m || '''', 'password_token = os.environ["PASSWORD_TOKEN"]') ELSE content END, 'connect(password="' || c || '")', 'connect(password=os.environ["PASSWORD"])') AS body FROM p)
-SELECT doc_id, true AS any_fixed, (CASE WHEN doc_id % 12 = 10 THEN 2 ELSE 1 END)::INTEGER AS outcomes, md5('import os' || chr(10) || body) AS fixed_md5 FROM r"""
+# By hand: control lines 0 and 10 assign a password, and line 4 of every program passes one.
+SQL_REWRITTEN = f"""WITH p AS (SELECT doc_id, {_PROGRAM} AS content, substr(md5(CAST(doc_id AS VARCHAR)), 1, 20) AS m, substr(md5({control_sql('.py')}), 1, 16) AS c FROM documents WHERE doc_id % 10 > 0),
+r AS (SELECT doc_id, replace(CASE doc_id % 12 WHEN 0 THEN replace(content, 'db_password = "' || m || '"', 'db_password = os.environ["DB_PASSWORD"]')
+    WHEN 10 THEN replace(content, 'password_token = ''' || m || '''', 'password_token = os.environ["PASSWORD_TOKEN"]') ELSE content END, 'connect(password="' || c || '")', 'connect(password=os.environ["PASSWORD"])') AS body FROM p)
+SELECT doc_id, true AS any_fixed, (CASE WHEN doc_id % 12 IN (0, 10) THEN 2 ELSE 1 END)::INTEGER AS outcomes, md5('import os' || chr(10) || body) AS fixed_md5 FROM r"""
 
 
 def rules_seen(spark, sf_dir):
