@@ -33,15 +33,56 @@ def by_provider(log: DataFrame) -> DataFrame:
 
 
 def escaped(text: Column) -> Column:
-    """For a Markdown table's cell."""
-    return F.regexp_replace(F.regexp_replace(text, r"([\\`*_|])", r"\\$1"), r"[\r\n]+", " ")
+    """For a Markdown table's cell; null as the empty text."""
+    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"([|`])", r"\\$1"), "\n\r", " ")
 
 
-def markdown_rows(log: DataFrame) -> DataFrame:
-    cells = [escaped(F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in ("file", "line", "rule_id", "provider", "masked_value", "action", "reason")]
+#: The heading of the log, its advice, what stands for no records, and the table's head.
+HEADING, ROTATE, NOTHING = "# Remediation Audit Log", "If a secret was ever committed, assume it is compromised and rotate it.", "*No secrets found.*"
+TABLE_HEAD = ("| ID | Timestamp | Action | Provider | Masked Value | Fingerprint | File | Line | Rule | Reason |", "|---|---|---|---|---|---|---|---:|---|---|")
+
+
+def _shown_file() -> Column:
+    return escaped(F.translate("file", "\\", "/"))
+
+
+def markdown_rows(log: DataFrame, stamp: str = "") -> DataFrame:
+    """Each record's row of the detailed table, with the columns that order it; ``stamp`` is the time of the log."""
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    cells = ["record_id", F.lit(stamp), "action", "provider", code(F.col("masked_value")), code(F.coalesce("fingerprint", F.lit(""))), code(_shown_file()), F.coalesce(F.col("line").cast("string"), F.lit("")), "rule_id", escaped(F.col("reason"))]
     return log.select(*AUDIT_ORDER, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("row"))
 
 
+def checklist_rows(log: DataFrame) -> DataFrame:
+    """Each record's box of the rotation checklist, and the provider whose heading ``title`` it stands under."""
+    titles = F.create_map(*[F.lit(x) for kv in PROVIDER_TITLES.items() for x in kv])
+    title = F.concat(F.lit("### "), F.coalesce(titles[F.col("provider")], F.initcap("provider")))
+    box = F.concat(F.lit("- [ ] `"), "masked_value", F.lit("` (`"), _shown_file(), F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("")), F.lit("`) - "), "action", F.lit(" [`"), "record_id", F.lit("`]"))
+    return log.select("provider", *AUDIT_ORDER, title.alias("title"), box.alias("row"))
+
+
+def outcome_rows(outcomes: DataFrame, dry_run: bool = False) -> DataFrame:
+    """``file, line, rule_id, rows``: what a report of fixes says of each outcome, plain, one line or three.
+
+    A refusal that suggests a variable tells it and the line for ``.env.example``.
+    """
+    state = F.when((F.col("state") == "FIXED") & F.lit(dry_run), "WOULD_FIX").otherwise(F.col("state"))
+    place = F.concat("file", F.when(F.coalesce("line", F.lit(0)) != 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
+    said = F.when(F.coalesce("message", F.lit("")) != "", F.concat(F.lit("  - "), "message")).otherwise("")
+    first = F.concat(F.lit("  "), F.format_string("%-10s %-8s ", state, "rule_id"), place, said)
+    gap = F.lit(" " * 13)
+    hints = F.array(F.concat(gap, F.lit("suggested_env_var: "), "env_var"), F.concat(gap, F.lit("Add to .env.example: "), "env_var", F.lit("=")))
+    suggested = (F.coalesce("env_var", F.lit("")) != "") & (F.col("state") == "REFUSED")
+    return outcomes.select("file", "line", "rule_id", F.when(suggested, F.concat(F.array(first), hints)).otherwise(F.array(first)).alias("rows"))
+
+
+def outcome_summary(outcomes: DataFrame, dry_run: bool = False) -> DataFrame:
+    """``summary``: one line that counts the states that occur, in their order."""
+    counts = outcomes.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ACTIONS])
+    shown = [F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(" WOULD_FIX" if dry_run and s == "FIXED" else f" {s}"))) for s in ACTIONS]
+    return counts.select(F.concat(F.lit("Summary: "), F.concat_ws(", ", *shown)).alias("summary"))
+
+
 def report_counts(files: DataFrame, findings: DataFrame) -> DataFrame:
     """files scanned and skipped, findings, and those of high severity, in one row."""
     f = files.agg(F.count_if(~F.col("skipped")).alias("files_scanned"), F.count_if("skipped").alias("files_skipped"))

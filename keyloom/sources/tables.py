@@ -142,9 +142,35 @@ def apply_fixes(rewritten: DataFrame, root: str) -> int:
     return n
 
 
-def write_audit(log: DataFrame, path: str) -> list[str]:
-    """The audit log as JSON or Markdown by the suffix; both without one."""
-    from ..operators.audit import AUDIT_ORDER, markdown_rows
+def _audit_markdown(log: DataFrame, ordered: DataFrame, stamp: str) -> list[str]:
+    from ..operators import audit
+
+    counts = {r.action: r.records for r in audit.by_action(log).collect()}  # at most four
+    out = [audit.HEADING, "", f"**Generated:** {stamp}  ", f"**Total findings:** {sum(counts.values())}", "", "## Summary", "", *[f"- {a.capitalize()}: {counts.get(a, 0)}" for a in audit.ACTIONS.values()], "", "## Rotation Checklist", "", audit.ROTATE, ""]
+    under = None
+    for r in audit.checklist_rows(log).orderBy("provider", *audit.AUDIT_ORDER).select("provider", "title", "row").toLocalIterator():
+        if r.provider != under:
+            out += ([""] if under is not None else []) + [r.title]
+            under = r.provider
+        out.append(r.row)
+    out += [audit.NOTHING if under is None else "", "## Detailed Log", "", *audit.TABLE_HEAD]
+    return out + [r.row for r in audit.markdown_rows(ordered, stamp).orderBy(*audit.AUDIT_ORDER).select("row").toLocalIterator()]
+
+
+def write_fix_report(outcomes: DataFrame, path: str, dry_run: bool = False) -> None:
+    """The text report of a fix: a line or three for each outcome, then the counts."""
+    from ..operators import audit
+
+    rows = audit.outcome_rows(outcomes, dry_run).orderBy("file", "line", "rule_id").select("rows").toLocalIterator()
+    head = "=== DRY RUN - no files modified ===" if dry_run else "=== Auto-Fix Results ==="
+    hint = outcomes.filter("reason = 'env_var_contract_not_found'").isEmpty()
+    last = audit.outcome_summary(outcomes, dry_run).first().summary
+    write_atomic("\n".join(["", head, *[x for r in rows for x in r.rows], "", last, *([] if hint else ["", "Hint: add a .env.example to enable safe remediation"]), ""]), path)
+
+
+def write_audit(log: DataFrame, path: str, stamp: str = "") -> list[str]:
+    """The audit log as JSON or Markdown by the suffix; both without one. ``stamp`` is the time that the Markdown shows."""
+    from ..operators.audit import AUDIT_ORDER
 
     stem, suffix = os.path.splitext(path)
     if suffix not in ("", ".json", ".md"):
@@ -155,7 +181,6 @@ def write_audit(log: DataFrame, path: str) -> list[str]:
         write_atomic(json.dumps([json.loads(r.j) for r in ordered.select(F.to_json(F.struct(*log.columns)).alias("j")).toLocalIterator()], indent=2), stem + ".json")
         out.append(stem + ".json")
     if suffix in ("", ".md"):
-        rows = [r.row for r in markdown_rows(log).orderBy(*AUDIT_ORDER).select("row").toLocalIterator()]
-        write_atomic("\n".join(["| file | line | rule | provider | value | action | reason |", "|---|---|---|---|---|---|---|", *rows, ""]), stem + ".md")
+        write_atomic("\n".join(_audit_markdown(log, ordered, stamp)), stem + ".md")
         out.append(stem + ".md")
     return out

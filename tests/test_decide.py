@@ -86,7 +86,19 @@ def test_audit_and_rules(spark, tmp_path):
     log = audit.audit_log(spark.createDataFrame(rows, "file string, line int, rule_id string, provider string, masked string, fingerprint string, state string, env_var string, reason string"))
     assert {r.action: r.records for r in audit.by_action(log).collect()} == {"fixed": 1, "refused": 1}
     assert [os.path.basename(p) for p in tables.write_audit(log, str(tmp_path / "log"))] == ["log.json", "log.md"]
-    assert "b\\|\\*\\*\\*" in (tmp_path / "log.md").read_text()
+    lines = (tmp_path / "log.md").read_text().split("\n")
+    ids = {r.fingerprint: r.record_id for r in log.collect()}
+    assert lines[3:] == [
+        "**Total findings:** 2", "", "## Summary", "", "- Fixed: 1", "- Refused: 1", "- Skipped: 0", "- Failed: 0", "", "## Rotation Checklist", "",
+        "If a secret was ever committed, assume it is compromised and rotate it.", "", "### Generic", f"- [ ] `a***` (`f.py:1`) - fixed [`{ids['fp1']}`]", "", "### Unknown", f"- [ ] `b|***` (`f.py:2`) - refused [`{ids['fp2']}`]", "",
+        "## Detailed Log", "", "| ID | Timestamp | Action | Provider | Masked Value | Fingerprint | File | Line | Rule | Reason |", "|---|---|---|---|---|---|---|---:|---|---|",
+        f"| {ids['fp1']} |  | fixed | generic | `a***` | `fp1` | `f.py` | 1 | SEC001 |  |", f"| {ids['fp2']} |  | refused | unknown | `b|***` | `fp2` | `f.py` | 2 | SEC002 | policy_block |",
+    ]
+    none = log.filter("1 = 0")
+    tables.write_audit(none, str(tmp_path / "none.md"))
+    assert "*No secrets found.*\n## Detailed Log" in (tmp_path / "none.md").read_text()
+    odd = spark.createDataFrame([("a|b`c\r\nd",), (None,)], "t string")
+    assert [r.e for r in odd.select(audit.escaped(odd.t).alias("e")).collect()] == ["a\\|b\\`c d", ""]
     with pytest.raises(ValueError):
         tables.write_audit(log, str(tmp_path / "log.txt"))
     own = tables.custom_rules("rules:\n  - id: A\n    pattern: 'foo+'\n  - id: B\n    pattern: '('\n  - pattern: x\n")
@@ -95,6 +107,19 @@ def test_audit_and_rules(spark, tmp_path):
     assert sorted(r.line for r in hits.collect()) == [2, 2, 4]
 
 
+def test_fix_report_text(spark, tmp_path):
+    rows = [("a.py", 3, "SEC001", "FIXED", None, "PASSWORD", "Hardcoded"), ("b.py", 4, "SEC002", "REFUSED", "env_var_contract_not_found", "API_KEY", None), ("c.py", None, "PARSE_ERROR", "SKIPPED", None, None, "bad")]
+    out = spark.createDataFrame(rows, "file string, line int, rule_id string, state string, reason string, env_var string, message string")
+    tables.write_fix_report(out, str(tmp_path / "wet.txt"))
+    body = [
+        "  FIXED      SEC001   a.py:3  - Hardcoded", "  REFUSED    SEC002   b.py:4", "             suggested_env_var: API_KEY", "             Add to .env.example: API_KEY=", "  SKIPPED    PARSE_ERROR c.py  - bad", "",
+        "Summary: 1 FIXED, 1 REFUSED, 1 SKIPPED", "", "Hint: add a .env.example to enable safe remediation", "",
+    ]
+    assert (tmp_path / "wet.txt").read_text().split("\n") == ["", "=== Auto-Fix Results ===", *body]
+    tables.write_fix_report(out.filter("state = 'FIXED'"), str(tmp_path / "dry.txt"), dry_run=True)
+    assert (tmp_path / "dry.txt").read_text() == "\n=== DRY RUN - no files modified ===\n  WOULD_FIX  SEC001   a.py:3  - Hardcoded\n\nSummary: 1 WOULD_FIX\n"
+
+
 def test_evaluation(spark):
     rows = [("r", "f", "1", "S", "b", "", "false"), ("r", "f", "1", "S", "a", "", "false"), ("q", "f", "2", "S", "c", "", "no")]
     f = spark.createDataFrame(rows, "repo string, file string, line string, rule_id string, matched_value string, surrounding_context string, synthetic string")
