@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hints
 from ..functions import values as V
 from ..operators import audit, detect, evaluate, flow, graph, policy, pytree, rewrite, store, windows
 from ..operators import rules as R
@@ -551,6 +552,36 @@ SQL_FIX_REPORT = f"""WITH {_OUTCOMES} SELECT (SELECT count(*) FROM documents) AS
   count(*) FILTER (state = 'FIXED') AS fixed, count(*) FILTER (state = 'REFUSED') AS refused, 0::BIGINT AS skipped, 0::BIGINT AS failed, (CASE WHEN count(*) FILTER (state = 'FIXED') > 0 THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM o"""
 
 
+def fix_lines(spark, sf_dir):
+    """What the text report of a dry run says of each finding."""
+    told = audit.outcome_rows(_fix(spark, sf_dir, _id() % 3 > 0)[1].withColumn("message", F.lit("found")), dry_run=True)
+    return told.select(_id().alias("doc_id"), "line", "rule_id", F.regexp_replace(F.array_join("rows", "\n"), r"\S*?:(\d+)  - ", "FILE:$1  - ").alias("told"))
+
+
+# By hand: the file's name is put as FILE on both sides.
+SQL_FIX_LINES = f"""WITH {_OUTCOMES} SELECT doc_id, line, rule_id, '  ' || rpad(CASE state WHEN 'FIXED' THEN 'WOULD_FIX' ELSE state END, 10, ' ') || ' ' || CASE rule_id WHEN 'PARSE_ERROR' THEN rule_id ELSE rule_id || '  ' END || ' FILE:' || line || '  - found'
+  || CASE WHEN env_var <> '' AND state = 'REFUSED' THEN chr(10) || '             suggested_env_var: ' || env_var || chr(10) || '             Add to .env.example: ' || env_var || '=' ELSE '' END AS told FROM o"""
+
+
+def error_hints(spark, sf_dir):
+    """Hints of logs: each document's whole text, and an error at its end."""
+    i, last = F.col("doc_id"), F.pmod("doc_id", F.lit(5))
+    error = F.when(last == 0, F.concat(F.lit("assert 200 == "), i, F.lit("\nE where 200 = <Response [200 OK]>"))).when(last == 1, F.concat(F.lit("KeyError: 'k"), i, F.lit("'"))).when(last == 2, F.concat(F.lit("ModuleNotFoundError: No module named 'm"), i, F.lit("'")))
+    error = error.when(last == 3, F.concat(F.lit("ValueError: not enough values to unpack (expected "), i, F.lit(", got 2)"))).otherwise("ZeroDivisionError: division by zero")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.explode(hints.error_hints(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), error))).alias("hint"))
+
+
+# By hand, from the texts of the hints.
+SQL_HINTS = """SELECT doc_id, 'BENCHMARK HINT: ' || unnest(CASE doc_id % 5
+  WHEN 0 THEN ['The test expects status code ' || doc_id || ', but the code returned 200. Locate the route decorator (e.g., @app.post, @app.get) or the return statement and ensure it explicitly sets status_code=' || doc_id || '.',
+    'Assertion failed: Found 200, but expected ' || doc_id || '. Check your logic to ensure the output matches ' || doc_id || '.']
+  WHEN 1 THEN ['KeyError accessing ''k' || doc_id || '''. Ensure the dictionary or object contains this key before accessing it, or use .get() with a default value.']
+  WHEN 2 THEN ['Missing Import: The module ''m' || doc_id || ''' is not found. Add `import m' || doc_id || '` or `from ... import m' || doc_id || '` at the top of the file.']
+  WHEN 3 THEN ['ValueError: Unpacking mismatch. You tried to unpack 2 values into ' || doc_id || ' variables. Check the function return value.']
+  ELSE ['ZeroDivisionError: You are trying to divide by zero. Ensure the denominator is not zero before division.'] END) AS hint FROM documents"""
+
+
 def rewritten_files(spark, sf_dir):
     """Only what the policy approves is rewritten; the rewritten code by its digest. All files have a contract here."""
     return _fix(spark, sf_dir, True)[2].select(_id().alias("doc_id"), "any_fixed", F.size("outcomes").alias("outcomes"), F.md5("fixed_code").alias("fixed_md5"))
@@ -719,7 +750,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         precision_grouping_sets, rater_kappa, recall_match, recall_by_family, miss_taxonomy, suspicious_not_found, stratified_topk, sampled_findings, rate_limit_windows, knn_embeddings, dependency_closure, text_keywords,
         preview_lines, history_added_lines, ast_findings, parse_errors, merged_findings, rewritten_files, parsed_labels,
         fix_outcomes, fix_report, rules_seen, count_changes, text_report, numbered_findings, unblocking_actions, run_keys, cache_and_upserts,
-        control_recall, matched_values, older_precision, failure_decay, service_lookups, encrypted_fields,
+        control_recall, matched_values, older_precision, failure_decay, service_lookups, encrypted_fields, fix_lines, error_hints,
     )
     return named | {f.__name__: f for f in own}
 
@@ -735,4 +766,5 @@ def oracle_sql() -> dict[str, str]:
         "ast_findings": SQL_TREES, "merged_findings": SQL_MERGED, "rewritten_files": SQL_REWRITTEN, "fix_outcomes": SQL_FIX, "fix_report": SQL_FIX_REPORT, "rules_seen": SQL_RULES_SEEN, "count_changes": SQL_CHANGES,
         "text_report": SQL_TEXT_REPORT, "numbered_findings": SQL_NUMBERED, "unblocking_actions": SQL_UNBLOCKING, "run_keys": SQL_RUN_KEYS, "cache_and_upserts": SQL_CACHE,
         "control_recall": SQL_CONTROLS, "matched_values": SQL_MATCHED, "older_precision": SQL_OLDER, "failure_decay": SQL_DECAY, "service_lookups": SQL_LOOKUPS, "encrypted_fields": SQL_ENCRYPTED,
+        "fix_lines": SQL_FIX_LINES, "error_hints": SQL_HINTS,
     }

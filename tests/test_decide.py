@@ -1,10 +1,12 @@
 import json
 import os
+import re
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.functions import hints
 from keyloom.operators import audit, evaluate, flow, graph, policy, rewrite, store, windows
 from keyloom.sources import controls, files, history, tables
 from keyloom.streaming import events
@@ -217,3 +219,22 @@ def test_keys(spark):
     assert [r.id for r in store.usable_keys(k, F.lit("2026-01-01"), F.lit("10.0.0.1")).orderBy("id").collect()] == [1, 4]
     c = spark.createDataFrame([("p", "r1", 1, 1), ("p", "r2", 2, 0)], "project_id string, rule_id string, priority int, enabled int")
     assert [r.rule_id for r in store.enabled_rules(c).collect()] == ["r1"]
+
+
+def test_index_kinds(spark):
+    paths = {"a/.env.local": ["config"], "x.env.prod": ["config"], "setup.cfg": ["config"], "a/setup_cfg": [], "t/test_a.py": ["code", "test"], "b_test.go": ["code", "test"], "c.kt": ["code"], "c.kts": [], "d/e.YAML": [], "docker-compose.yml": ["config"]}
+    got = spark.createDataFrame([(p,) for p in paths], "file string").select("file", graph.index_kinds(F.col("file")).alias("k"))
+    assert {r.file: r.k for r in got.collect()} == paths
+
+
+def test_error_hints(spark):
+    def expected(log):
+        found = set()
+        for pattern, hint in hints.HINTS:
+            for m in re.findall(pattern, log or "", re.S):
+                found.add(hints.PREFIX + (hint.format(*m) if isinstance(m, tuple) else hint.format(m)))
+        return sorted(found)
+
+    logs = ["", None, "TimeoutError\nTimeoutError SEC002", "assert 1 == 2 assert 3 == 4\nassert 1 == 2", "KeyError: 'a{0}'\nx 'b'", "AttributeError: 'NoneType' object has no attribute 'x'", "SyntaxError: bad\nmore", "TypeError: f() takes 1 positional arguments but 22 were given", "no error " * 5_000]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(logs)], "i int, log string").select("i", hints.error_hints(F.col("log")).alias("h"))
+    assert {r.i: r.h for r in got.collect()} == {i: expected(x) for i, x in enumerate(logs)}
