@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_uneven, written
+from .common import BROADCAST_ROWS, discard, join_uneven, small_enough, written
 
 
 def _with_least(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -56,3 +60,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(edges)
         edges = _settled(_small_star(starred, stat.n), "cc")
         discard(starred)
+
+
+def _roots(root: np.ndarray, i: np.ndarray) -> np.ndarray:
+    r = root[i]
+    while (r != (up := root[r])).any():
+        r = up
+    return r
+
+
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of the linked ``i`` and ``j``; ``root`` points to smaller places, a tree's least to itself."""
+    while True:
+        i, j = _roots(root, i), _roots(root, j)
+        apart = i != j
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+
+
+def few_components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``connected_components``; edges without nulls that are at most ``limit`` by count are united by one task, without rounds."""
+    if not small_enough(edges, limit):
+        return connected_components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            a, b = (pa.Table.from_batches(held)[c].to_numpy() for c in ("a", "b"))
+            node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = np.arange(len(node))
+            unite(root, at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[_roots(root, np.arange(len(node)))])], ["node", "component"])
+
+    return edges.select("a", "b").filter("a <> b").coalesce(1).mapInArrow(run, "node long, component long")

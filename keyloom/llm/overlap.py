@@ -11,8 +11,10 @@ none is added. Shingles that are frequent in a sample come last in the order,
 which keeps buckets small; what the sample holds changes the cost, never the
 result.
 
-Only classes are wanted. So each bucket's documents are compared to its least
-one, which unites a group of near copies by as many pairs as it has members;
+Only classes are wanted. The trie's links make the first ones, and a bucket
+of one class goes no further: what the trie has joined isn't joined again. In
+the others, a bucket's documents are compared to its least one, if of another
+class, which unites a group of near copies by as many pairs as it has members;
 then, in the buckets of several classes, all pairs of different ones are
 compared by their sketches, and those that the sketches can't tell apart by
 their sets.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_checked, written
-from .components import connected_components
+from .components import few_components
 
 SHINGLE, TENTHS = 5, 8
 #: Documents sampled for the order, and shingles that count as frequent, by at least so many of these documents.
@@ -157,12 +159,12 @@ def _near(x: np.ndarray, y: np.ndarray, tenths: int) -> np.ndarray:
 
 
 def _hubs(tenths: int):
-    """Pairs of a bucket's least node and each of its others whose sizes allow the similarity."""
+    """Pairs of a bucket's least node and each of its others of other classes whose sizes allow the similarity."""
 
     def of(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, n = table["node"].to_numpy(), table["n"].to_numpy()
+        node, n, c = (table[x].to_numpy() for x in ("node", "n", "component"))
         hub = np.repeat(starts, ends - starts)  # rows are sorted by node within a bucket
-        keep = (node != node[hub]) & _near(n, n[hub], tenths)
+        keep = (c != c[hub]) & _near(n, n[hub], tenths)
         yield from _pairs(node[hub][keep], node[keep])
 
     return of
@@ -264,7 +266,7 @@ def near_pair_classes(docs: DataFrame, tenths: int = TENTHS, reached: Callable[[
     a Jaccard similarity of at least ``tenths`` / 10. Sets are of 64-bit hashes.
     Texts without words have one and the same set. Repeated doc_ids are one
     document, rows without one have no part. Other columns are not read.
-    ``reached`` may give pairs ``a, b`` of the table ``drawn`` that are likely to link, as trees; they are confirmed first.
+    ``reached`` may give pairs ``a, b`` of the table ``drawn`` that are likely to link, as trees; they are confirmed first, and only what they leave in different classes is joined.
     """
     table = written(drawn(docs, tenths), "drawn")
     rows = table.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
@@ -274,20 +276,27 @@ def near_pair_classes(docs: DataFrame, tenths: int = TENTHS, reached: Callable[[
     def met(rows: DataFrame, of, schema: str = "a long, b long") -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets(of), schema)
 
-    first = met(shared, _hubs(tenths)).unionByName(reached(table)) if reached else met(shared, _hubs(tenths))
-    first = written(first.distinct(), "hubs")
-    links = written(_confirmed(first, docs, sketches, tenths), "links")
-    classes = written(connected_components(links), "classes")
-    marked = join_checked(shared, classes, "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = written(met(marked, _mixed, "key long, node long, n int, component long"), "mixed")
+    def mixed_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        marked = join_checked(rows.select("key", "node", "n"), classes, "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        return written(met(marked, _mixed, "key long, node long, n int, component long"), "mixed")
+
+    def joined(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        links = written(_confirmed(pairs, docs, sketches, tenths), "links")
+        return written(few_components(classes.toDF("a", "b").unionByName(links)), "classes")
+
+    first = written(reached(table).distinct() if reached else table.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "reached")
+    classes = joined(first, first.toDF("node", "component").limit(0))
+    several = mixed_rows(shared, classes)
+    hubs = written(met(several, _hubs(tenths)).distinct().join(first, ["a", "b"], "left_anti"), "hubs")
+    classes = joined(hubs, classes)
+    mixed = mixed_rows(several, classes)
+    tried = first.unionByName(hubs)
     short = sketches.select("node", _short(F.col("bits"), F.col("n")).alias("bits"))
     # by size too: a doc_id may stand for several texts
     earlier = F.collect_list("key").over(Window.partitionBy("node", "n").orderBy("key").rowsBetween(-BEFORE, -1))
-    rest = written(met(mixed.join(short, "node").withColumn("before", earlier).select("key", "node", "n", "component", "before", "bits"), _apart(tenths)).distinct().join(first, ["a", "b"], "left_anti"), "apart")
-    discard(shared, mixed)
-    if rest.isEmpty():
-        return classes
-    return connected_components(links.unionByName(_confirmed(rest, docs, sketches, tenths)))
+    rest = written(met(mixed.join(short, "node").withColumn("before", earlier).select("key", "node", "n", "component", "before", "bits"), _apart(tenths)).distinct().join(tried, ["a", "b"], "left_anti"), "apart")
+    discard(shared, several, mixed)
+    return classes if rest.isEmpty() else joined(rest, classes)
 
 
 def near_dedup(docs: DataFrame, tenths: int = TENTHS, reached: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

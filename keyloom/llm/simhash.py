@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import overlap
 from .common import join_checked, join_uneven, written
-from .components import connected_components
+from .components import _roots, connected_components, unite
 
 MAX_BITS = 3
 MAX_BUCKET = 50_000
@@ -153,24 +153,6 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: i
         stack.append((depth + 1, *(v[live] for v in (x0, x1, y0, y1, d))))
 
 
-def _roots(root: np.ndarray, i: np.ndarray) -> np.ndarray:
-    r = root[i]
-    while (r != (up := root[r])).any():
-        r = up
-    return r
-
-
-def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the trees of the linked ``i`` and ``j``; ``root`` points to smaller places, a tree's least to itself."""
-    while True:
-        i, j = _roots(root, i), _roots(root, j)
-        apart = i != j
-        if not apart.any():
-            return
-        i, j = i[apart], j[apart]
-        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
-
-
 def _joined(parts: int, deals: int, forest: bool):
     """What joins the tries of a partition of ``key, rest, fp, node``, sorted by key and rest.
 

@@ -44,3 +44,25 @@ def test_near_copies(spark, frequent, monkeypatch):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*set(root), None], key=str)
     assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def _tried(monkeypatch):
+    """The pairs that each confirmation gets."""
+    calls, confirmed = [], overlap._confirmed
+    monkeypatch.setattr(overlap, "_confirmed", lambda pairs, *a: calls.append([tuple(r) for r in pairs.select("a", "b").collect()]) or confirmed(pairs, *a))
+    return calls
+
+
+def test_what_the_trie_has_joined_is_not_joined_again(spark, monkeypatch):
+    rng, calls = np.random.default_rng(7), _tried(monkeypatch)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+    texts = [" ".join([*base[: 10 * k], f"e{k}", *base[10 * k + 1 :]]) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    star = [(k, 5) for k in range(5)]
+    classes = overlap.near_pair_classes(docs, reached=lambda table: spark.createDataFrame(star, "a long, b long"))
+    assert sorted(map(tuple, classes.collect())) == [(k, 0) for k in range(6)]
+    assert sorted(calls[0]) == star and not any(calls[1:])
+    calls.clear()
+    part = overlap.near_pair_classes(docs, reached=lambda table: spark.createDataFrame(star[:3], "a long, b long"))
+    assert sorted(map(tuple, part.collect())) == [(k, 0) for k in range(6)]
+    assert sorted(calls[0]) == star[:3] and all(b in (3, 4) for c in calls[1:] for _, b in c) and any(calls[1:])
