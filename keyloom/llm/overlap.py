@@ -16,8 +16,11 @@ of one class goes no further: what the trie has joined isn't joined again. In
 the others, a bucket's documents are compared to its least one, if of another
 class, which unites a group of near copies by as many pairs as it has members;
 then, in the buckets of several classes, all pairs of different ones are
-compared by their sketches, and those that the sketches can't tell apart by
-their sets.
+compared by their sketches. Of those that the sketches can't tell apart each
+document's closest is compared by the sets, again and again, as long as that
+unites enough classes: at most a pair for each document, so a group that links in
+many ways does not give all of its pairs. What is still in different classes
+then, and can't be told apart, is compared by the sets pair by pair.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SHORT = 32
 BEFORE = 8
 #: Pairs of a bucket that are held at a time.
 PIECE = 1_000_000
+#: Rounds of closest pairs go on while one in so many of them is a link; what is left over is compared all the same.
+WORTH = 10
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -178,44 +183,73 @@ def _mixed(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa
         yield from table.filter(pa.array(mixed)).combine_chunks().to_batches()
 
 
-def _apart(tenths: int):
-    """All pairs of a bucket's nodes of different classes whose sizes and sketches allow the similarity.
+def _candidates(table: pa.Table, starts: np.ndarray, ends: np.ndarray, tenths: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row i, the later rows j of its bucket of other classes whose sizes and sketches allow the similarity, and how far these differ, of the sizes.
 
-    Sizes, sketches and classes are the same in each bucket where a pair meets,
-    so it is left to an earlier one if both nodes' rows name that: the first is
-    never skipped, and of the others few are left.
+    Sizes and sketches are the same in each bucket where a pair meets, so it is
+    left to an earlier one if both nodes' rows name that: the first is never
+    skipped, and of the others few are left.
     """
+    key, n, c = (table[x].to_numpy() for x in ("key", "n", "component"))
+    before = table["before"].combine_chunks()
+    met = np.repeat(key[:, None], BEFORE, axis=1)  # the own key where there are fewer before
+    met[np.arange(BEFORE) < before.value_lengths().to_numpy()[:, None]] = before.flatten().to_numpy()
+    bits = table["bits"].combine_chunks()
+    words, at = bits.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(bits.value_lengths().to_numpy())])
+    most = (10 - tenths) / (10 + tenths)
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        size = at[s + 1 : e + 1] - at[s:e]
+        # sketches are put in one table for each length; pairs of other lengths are left to the next step
+        by = {int(k): np.flatnonzero(size == k) for k in np.unique(size)}
+        own = {k: words[(at[s + rows][:, None] + np.arange(k))] for k, rows in by.items()}
+        for i in range(s, e - 1):
+            k = int(size[i - s])
+            near = (c[i + 1 : e] != c[i]) & _near(n[i + 1 : e], n[i], tenths)
+            if not near.any():
+                continue
+            later = by[k][by[k] > i - s]
+            differ = np.bitwise_count(own[k][len(by[k]) - len(later) :] ^ words[at[i] : at[i + 1]]).sum(axis=1, dtype=np.int64)
+            both = n[s + later].astype(np.int64) + int(n[i])
+            near[later - (i - s) - 1] &= (10 + tenths) * differ <= (10 - tenths) * both
+            apart = np.full(len(near), most)
+            apart[later - (i - s) - 1] = differ / both
+            j = np.flatnonzero(near)
+            j = j[~np.isin(met[i + 1 + j], met[i][met[i] != key[i]]).any(axis=1)]
+            if len(j):
+                yield i, i + 1 + j, apart[j]
+
+
+def _nearest(tenths: int):
+    """The rows that have candidates in their bucket, each with the node that differs least, ``best``, and how far: no more rows than come in."""
+
+    def of(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = table["node"].to_numpy()
+        best, least = np.full(len(node), -1), np.full(len(node), np.inf)
+        for i, j, apart in _candidates(table, starts, ends, tenths):
+            if apart.min() < least[i]:
+                best[i], least[i] = j[apart.argmin()], apart.min()
+            closer = apart < least[j]
+            best[j[closer]], least[j[closer]] = i, apart[closer]
+        has = np.flatnonzero(best >= 0)
+        if len(has):
+            yield from table.take(pa.array(has)).append_column("best", pa.array(node[best[has]])).append_column("apart", pa.array(least[has])).combine_chunks().to_batches()
+
+    return of
+
+
+def _apart(tenths: int):
+    """All pairs of a bucket's candidates."""
 
     def of(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, node, n, c = (table[x].to_numpy() for x in ("key", "node", "n", "component"))
-        before = table["before"].combine_chunks()
-        met = np.repeat(key[:, None], BEFORE, axis=1)  # the own key where there are fewer before
-        met[np.arange(BEFORE) < before.value_lengths().to_numpy()[:, None]] = before.flatten().to_numpy()
-        bits = table["bits"].combine_chunks()
-        words, at = bits.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(bits.value_lengths().to_numpy())])
+        node = table["node"].to_numpy()
         a, b, held = [], [], 0
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            size = at[s + 1 : e + 1] - at[s:e]
-            # sketches are put in one table for each length; pairs of other lengths are left to the next step
-            by = {int(k): np.flatnonzero(size == k) for k in np.unique(size)}
-            own = {k: words[(at[s + rows][:, None] + np.arange(k))] for k, rows in by.items()}
-            for i in range(s, e - 1):
-                k = int(size[i - s])
-                near = (c[i + 1 : e] != c[i]) & _near(n[i + 1 : e], n[i], tenths)
-                if not near.any():
-                    continue
-                later = by[k][by[k] > i - s]
-                differ = np.bitwise_count(own[k][len(by[k]) - len(later) :] ^ words[at[i] : at[i + 1]]).sum(axis=1, dtype=np.int64)
-                near[later - (i - s) - 1] &= (10 + tenths) * differ <= (10 - tenths) * (n[s + later].astype(np.int64) + int(n[i]))
-                j = i + 1 + np.flatnonzero(near)
-                j = j[~np.isin(met[j], met[i][met[i] != key[i]]).any(axis=1)]
-                if len(j):
-                    a.append(np.full(len(j), node[i]))
-                    b.append(node[j])
-                    held += len(j)
-                if held > PIECE:
-                    yield from _pairs(np.concatenate(a), np.concatenate(b))
-                    a, b, held = [], [], 0
+        for i, j, _ in _candidates(table, starts, ends, tenths):
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+            held += len(j)
+            if held > PIECE:
+                yield from _pairs(np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
         if held:
             yield from _pairs(np.concatenate(a), np.concatenate(b))
 
@@ -280,23 +314,36 @@ def near_pair_classes(docs: DataFrame, tenths: int = TENTHS, reached: Callable[[
         marked = join_checked(rows.select("key", "node", "n"), classes, "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         return written(met(marked, _mixed, "key long, node long, n int, component long"), "mixed")
 
-    def joined(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        links = written(_confirmed(pairs, docs, sketches, tenths), "links")
-        return written(few_components(classes.toDF("a", "b").unionByName(links)), "classes")
+    def united(links: DataFrame, classes: DataFrame) -> DataFrame:
+        return written(few_components(written(classes.toDF("a", "b").unionByName(links), "links")), "classes")
 
     first = written(reached(table).distinct() if reached else table.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "reached")
-    classes = joined(first, first.toDF("node", "component").limit(0))
+    classes = united(_confirmed(first, docs, sketches, tenths), first.toDF("node", "component").limit(0))
     several = mixed_rows(shared, classes)
     hubs = written(met(several, _hubs(tenths)).distinct().join(first, ["a", "b"], "left_anti"), "hubs")
-    classes = joined(hubs, classes)
+    classes = united(_confirmed(hubs, docs, sketches, tenths), classes)
     mixed = mixed_rows(several, classes)
     tried = first.unionByName(hubs)
     short = sketches.select("node", _short(F.col("bits"), F.col("n")).alias("bits"))
     # by size too: a doc_id may stand for several texts
     earlier = F.collect_list("key").over(Window.partitionBy("node", "n").orderBy("key").rowsBetween(-BEFORE, -1))
-    rest = written(met(mixed.join(short, "node").withColumn("before", earlier).select("key", "node", "n", "component", "before", "bits"), _apart(tenths)).distinct().join(tried, ["a", "b"], "left_anti"), "apart")
+    columns = "key long, node long, n int, component long, before array<long>, bits array<long>"
+    rows = mixed.join(short, "node").withColumn("before", earlier).select("key", "node", "n", "component", "before", "bits")
+    while True:
+        left = written(met(rows, _nearest(tenths), f"{columns}, best long, apart double"), "left")
+        rows = left.drop("best", "apart")
+        least = left.groupBy("node").agg(F.min_by("best", "apart").alias("best")).select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"))
+        best = written(least.distinct().join(tried, ["a", "b"], "left_anti"), "best")
+        if not (pairs := best.count()):
+            break
+        links = written(_confirmed(best, docs, sketches, tenths), "links")
+        tried, classes = tried.unionByName(best), united(links, classes)
+        rows = join_checked(rows.drop("component"), classes, "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"), "before", "bits")
+        if WORTH * links.count() < pairs:
+            break
+    rest = written(met(rows, _apart(tenths)).distinct().join(tried, ["a", "b"], "left_anti"), "apart")
     discard(shared, several, mixed)
-    return classes if rest.isEmpty() else joined(rest, classes)
+    return classes if rest.isEmpty() else united(_confirmed(rest, docs, sketches, tenths), classes)
 
 
 def near_dedup(docs: DataFrame, tenths: int = TENTHS, reached: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

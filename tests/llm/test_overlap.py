@@ -66,3 +66,24 @@ def test_what_the_trie_has_joined_is_not_joined_again(spark, monkeypatch):
     part = overlap.near_pair_classes(docs, reached=lambda table: spark.createDataFrame(star[:3], "a long, b long"))
     assert sorted(map(tuple, part.collect())) == [(k, 0) for k in range(6)]
     assert sorted(calls[0]) == star[:3] and all(b in (3, 4) for c in calls[1:] for _, b in c) and any(calls[1:])
+
+
+def test_a_group_that_links_in_many_ways_does_not_give_all_of_its_pairs(spark, monkeypatch):
+    rng, calls = np.random.default_rng(8), _tried(monkeypatch)
+    base, texts = [f"w{x}" for x in rng.integers(0, 3000, 300)], []
+    for k in range(150):
+        own = list(base)
+        for at in rng.integers(0, 300, 2 + k % 4):
+            own[at] = f"e{rng.integers(0, 10**9)}"
+        texts.append(" ".join(own))
+    sets, root, links = [_set(t) for t in texts], list(range(150)), 0
+    for i in range(150):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root, links = [a if r == b else r for r in root], links + 1
+    assert links > 2000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.node: r.component for r in overlap.near_pair_classes(docs).collect()}
+    assert [got.get(k, k) for k in range(150)] == root
+    assert sum(map(len, calls)) < 1000
